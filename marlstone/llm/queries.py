@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import neardup
+from marlstone.llm import comments, files, leaks, markup, neardup
 from marlstone.session import table
 
 
@@ -19,6 +19,53 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "chunks"), "id", "content")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_groups": p3_groups}
+def _text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return files.chunks_of(table(spark, d, "chunks"), table(spark, d, "documents"), files.TEXT)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    held = markup.cleaned(_text_chunks(spark, d), "id", "content")
+    return held.select(F.col("id").alias("chunk_id"), F.explode("markup").alias("markup")).distinct()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(_text_chunks(spark, d), "id", "content").withColumnRenamed("id", "chunk_id")
+
+
+def _code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("ending", files.ending(F.col("filename")))
+    return files.chunks_of(table(spark, d, "chunks"), documents, files.SOURCE, "ending")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    held = comments.hidden_language(_code_chunks(spark, d), "id", "document_id", "content", "ending")
+    return held.select(F.col("id").alias("chunk_id"), F.col("lang").alias("comment_lang")).distinct()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of natural language by file and language, and their share of the file."""
+    code = _code_chunks(spark, d)
+    held = comments.hidden_language(code, "id", "document_id", "content", "ending")
+    return comments.shares(held, code, "id", "document_id", "content").withColumnRenamed("file", "doc_id")
+
+
+def _leaks(spark: SparkSession, d: str, tile: int) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", tile)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 13).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item, the documents that hold tiles of eight words that cover at least a third of it."""
+    held = _leaks(spark, d, 8).where(F.col("covered") * 3 >= F.col("item_words"))
+    return leaks.leak_report(held).withColumnRenamed("item", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_items": p8_items,
+}
 
 SQL: dict[str, str] = {}
