@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import comments, files, leaks, markup, neardup
+from marlstone.llm import comments, files, handwritten, leaks, markup, neardup, quality
 from marlstone.session import table
 
 
+def _file_labels(spark: SparkSession, d: str) -> DataFrame:
+    documents = files.documents_of(table(spark, d, "documents"), files.SOURCE)
+    code = files.chunks_of(table(spark, d, "chunks"), documents, files.SOURCE)
+    evidence = handwritten.file_evidence(handwritten.chunk_evidence(code, "id", "document_id", "position", "content"))
+    return handwritten.labels(documents, "doc_id", "filename", evidence)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _file_labels(spark, d).where(F.col("label") != "handwritten").select(F.col("file").alias("doc_id"))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _file_labels(spark, d).withColumnRenamed("file", "doc_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "chunks"), "id", "content").select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
@@ -63,9 +78,21 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(held).withColumnRenamed("item", "item_id")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(files.documents_of(table(spark, d, "documents"), files.TEXT), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(_judged(spark, d)).select(F.col("id").alias("doc_id"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares,
-    "p8_found": p8_found, "p8_items": p8_items,
+    "p1_found": p1_found, "p1_labels": p1_labels, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 
 SQL: dict[str, str] = {}
