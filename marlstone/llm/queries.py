@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import comments, files, handwritten, leaks, markup, neardup, quality
+from marlstone.llm import comments, files, handwritten, leaks, markup, mixing, nearest, neardup, quality
 from marlstone.session import table
 
 
@@ -26,6 +26,13 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     return _file_labels(spark, d).withColumnRenamed("file", "doc_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "vec_chunks").select(F.col("chunk_id").alias("id"), "embedding")
+    probes = table(spark, d, "knn_probes").select(F.col("chunk_id").alias("id"))
+    found = nearest.nearest(vectors, probes, "id", "embedding")
+    return found.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "chunks"), "id", "content").select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
@@ -78,6 +85,15 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(held).withColumnRenamed("item", "item_id")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixed(table(spark, d, "documents"), targets), targets)
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(files.documents_of(table(spark, d, "documents"), files.TEXT), "doc_id", "text")
 
@@ -91,8 +107,8 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_labels": p1_labels, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares,
-    "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_statistics": p10_statistics,
+    "p1_found": p1_found, "p1_labels": p1_labels, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 
 SQL: dict[str, str] = {}
