@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.arrow import map_columns
 
-#: Centroids of each half; vectors the codebooks are fitted on; vectors of a block; queries of a group.
-CENTROIDS, SAMPLE, BLOCK, QUERIES = 64, 20_000, 40_000, 4_000
+#: Centroids of each half at most; vectors the codebooks are fitted on; vectors of a block; queries of a group.
+CENTROIDS, SAMPLE, BLOCK, QUERIES = 512, 40_000, 60_000, 100_000
 #: Vectors whose exact cosine is taken, per query, at least.
-VISIT = 6_000
+VISIT = 12_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -46,19 +46,29 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(1) - 2 * (x @ centroids.T), axis=1)
 
 
-def _fit_half(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Lloyd's iterations; an empty centroid takes the point that is worst served."""
+def _fit_half(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Lloyd's iterations; an empty centroid takes the point that is worst served.
+
+    The centroids are put in a chain from neighbour to neighbour, so that cells
+    near each other get near numbers and share blocks.
+    """
     k = min(k, len(x))
     c = x[np.random.default_rng(7).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
+        order = np.argsort(at, kind="stable")
         sums = np.zeros((k, x.shape[1]))
-        np.add.at(sums, at, x)
+        sums[n > 0] = np.add.reduceat(x[order], (np.cumsum(n) - n)[n > 0], axis=0)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c).astype(np.float32)
         for j in np.flatnonzero(n == 0):
             c[j] = x[int(np.argmax(((x - c[at]) ** 2).sum(1)))]
-    return c
+    chain, left = [0], set(range(1, k))
+    while left:
+        rest = np.fromiter(left, np.int64)
+        chain.append(int(rest[np.argmin(((c[rest] - c[chain[-1]]) ** 2).sum(1))]))
+        left.remove(chain[-1])
+    return c[chain]
 
 
 @dataclass(frozen=True)
@@ -116,7 +126,7 @@ def build(rows: DataFrame, dim: int) -> Index | None:
         picked = rows.limit(SAMPLE).toArrow()
     x = _unit(_matrix(picked["vector"], dim))
     h = dim // 2
-    k = min(CENTROIDS, max(4, int(total**0.5) // 4))
+    k = min(CENTROIDS, max(4, round((total / 16) ** 0.5)))
     left, right = _fit_half(x[:, :h], k), _fit_half(x[:, h:], k)
     bare = Index(left, right, np.zeros(0), np.zeros(0), np.zeros(0))
 
@@ -127,7 +137,7 @@ def build(rows: DataFrame, dim: int) -> Index | None:
     counts = np.zeros(len(left) * len(right), np.int64)
     for cell, n in map_columns(rows.select("vector"), f, "cell int, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # a row a cell
         counts[cell] = n
-    block, splits, at, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    block, splits, at, filled = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
     for cell, n in enumerate(counts.tolist()):
         if n > BLOCK:
             at += 1 if filled else 0
@@ -180,9 +190,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, di
         return out
 
     asked = queries.select(F.col(row_id).cast("bigint").alias("id")).where(F.col("id").isNotNull()).distinct()
-    sent = map_columns(rows.join(asked, "id", "left_semi").dropDuplicates(["id"]), visits, "block int, id bigint, vector binary, cells array<int>")
+    n_asked = asked.count()
+    # a query's walk costs milliseconds but few bytes: by bytes alone they would all end up in one task
+    spread = rows.join(asked, "id", "left_semi").dropDuplicates(["id"]).repartition(min(10_000, max(1, n_asked // 100)), "id")
+    sent = map_columns(spread, visits, "block int, id bigint, vector binary, cells array<int>")
     # groups of queries: as many as their number asks for, each with a copy of the blocks that it visits
-    groups = max(1, -(-asked.count() // QUERIES))
+    groups = max(1, -(-n_asked // QUERIES))
     part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")
     left = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else placed.withColumn("part", F.lit(0))
     left, right = left.groupBy("block", "part"), sent.select("*", part).groupBy("block", "part")
