@@ -36,9 +36,9 @@ def hash_embedding(text: Column, dim: int = 1024) -> Column:
 
     The digest's first eight bytes are repeated to ``dim`` and scaled to length 1.
     """
-    digest = F.md5(F.encode(text, "UTF-8"))
-    byte = lambda i: F.conv(F.substring(digest, i * 2 + 1, 2), 16, 10).cast("double") / 255
-    eight = F.array(*[byte(i) for i in range(8)])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(eight, F.pmod(i, F.lit(8))))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  (x is evaluated once)
+    byte = lambda h, i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
+    eight = let(F.md5(F.encode(text, "UTF-8")), lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: byte(h, i)))
+    raw = let(eight, lambda e: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(e, F.pmod(i, F.lit(8)))))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float"))))

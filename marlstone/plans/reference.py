@@ -134,9 +134,10 @@ _HEAD, _TAIL = (_VEC % "true").strip().rsplit("SELECT top.id", 1)
 
 
 @query(
-    _HEAD.rstrip() + ", near AS (SELECT top.id" + _TAIL + "), " + _SYM.strip().removeprefix("WITH c AS (SELECT DISTINCT id, document_id, position, content FROM chunks),").replace("m AS (", "m2 AS (").replace("JOIN m ON", "JOIN m2 ON").replace("m.mid", "m2.mid")
-    + """, a AS (SELECT 0 AS src, *, row_number() OVER (ORDER BY similarity DESC, document_name, position) AS rank FROM near
-         UNION ALL BY NAME SELECT 1 AS src, *, row_number() OVER (ORDER BY similarity DESC, document_name, position) AS rank FROM sym),
+    _HEAD.rstrip() + ", near AS (SELECT top.id" + _TAIL + "), "
+    + _SYM.strip().removeprefix("WITH c AS (SELECT DISTINCT id, document_id, position, content FROM chunks),").replace("m AS (SELECT chunk_id", "m2 AS (SELECT chunk_id").replace("JOIN m ON hit.id = m.mid", "JOIN m2 ON hit.id = m2.mid")
+    + """, a AS (SELECT 0 AS src, document_name, position, similarity, row_number() OVER (ORDER BY similarity DESC, document_name, position) AS rank FROM near
+         UNION ALL SELECT 1, document_name, position, similarity, row_number() OVER (ORDER BY similarity DESC, document_name, position) FROM sym),
        b AS (SELECT *, row_number() OVER (PARTITION BY document_name, position ORDER BY src, rank) AS n FROM a)
     SELECT document_name, position, printf('%.4f', similarity) AS similarity, CAST(src AS INTEGER) AS src, CAST(rank AS INTEGER) AS rank FROM b WHERE n = 1"""
 )
@@ -556,7 +557,7 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT id, list_transform(range(8), lambda i: CAST('0x' || substring(md5(content), CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) / 255.0::DOUBLE) AS v FROM (SELECT DISTINCT id, content FROM chunks)),
 n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM b)
-SELECT id, round(v[1] / norm, 5) AS first, round(v[8] / norm, 5) AS last FROM n""")
+SELECT id, round((v[1] / norm)::FLOAT::DOUBLE, 5) AS first, round((v[8] / norm)::FLOAT::DOUBLE, 5) AS last FROM n""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = V.hash_embedding(F.col("content"), 8)
     rows = table(spark, d, "chunks").select("id", "content").distinct().select("id", v.alias("v"))
