@@ -83,6 +83,9 @@ def spans(code: str, family: str) -> Iterator[tuple[str, str, int]]:
             continue
         if kind is None:
             continue
+        if run:
+            yield "comment", "\n".join(run), run_bytes
+            run, run_bytes = [], 0
         size = len(piece.encode("utf-8", "surrogatepass"))
         if kind == "block":
             inner = piece[2:-2] if piece.endswith("*/") and len(piece) >= 4 else piece[2:]

@@ -227,7 +227,7 @@ def plain(text: str) -> str:
     if "```" in text or "~~~" in text:
         text = _CODE.sub(lambda m: keep("```\n" + m[2].rstrip("\n") + "\n```"), text)
     if "<" in text:
-        text = re.sub(r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\Z)", lambda m: keep("```\n" + html.unescape(re.sub(r"<[^<>]+>", "", m[1])).strip("\n") + "\n```"), text)
+        text = re.sub(r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\Z)", lambda m: "\n\n" + keep("```\n" + html.unescape(re.sub(r"<[^<>]+>", "", m[1])).strip("\n") + "\n```") + "\n", text)
     if "$" in text or "\\" in text:
         text = _MATH.sub(lambda m: keep(m[0]), text)
     for held, step, by in _STEPS:
