@@ -131,7 +131,8 @@ class Store:
         folders = manifest["tables"].setdefault(name, {})
         for b in buckets:
             folders.pop(str(b), None)
-        for r in self.spark.read.parquet(f"{self.root}/{folder}").select("bucket").distinct().collect() if rows.columns else []:
+        full = T.StructType([*schemas.stored(name).fields, T.StructField("bucket", T.IntegerType())])
+        for r in self.spark.read.schema(full).parquet(f"{self.root}/{folder}").select("bucket").distinct().collect():  # at most BUCKETS
             folders[str(r[0])] = folder
 
     def _touched(self, names: DataFrame) -> list[int]:

@@ -107,7 +107,7 @@ def _rust(code: str) -> Iterator[Symbol]:
 
 
 #: Words before a parenthesis that are no names.
-_KEYWORDS = frozenset("if for while switch catch function return typeof new await super import with match fn loop func go defer select range else case in of do".split())
+_KEYWORDS = frozenset("if for while switch catch function return typeof new await super import with match fn loop func go defer select range else case in of do type var const import".split())
 
 
 def _script(code: str, typed: bool) -> Iterator[Symbol]:
@@ -220,10 +220,11 @@ def relations(code: str, language: str) -> list[tuple[str, str, int]]:
         line = lambda at: bisect.bisect_left(ends, at) + 1
         declared = re.compile(r"(?:\b(?:fn|func|function|class|interface)\s+|\bfunc\s*\([^)]*\)\s*)$")
         methods = {s.start + len(m[0]) for s in symbols(code, language) if s.kind == "method" and (m := re.match(r"(?:[a-z*]+\s+)*", blank[s.start : s.end]))}
+        contracts = [(m.end(), _matching(blank, m.end() - 1)) for m in re.finditer(r"\binterface\s*\{", blank)] if language == "go" else []
         for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*(?:::\s*<[^()]*?>\s*)?\(", blank):
             if m[1] in (_KEYWORDS - {"new", "catch", "of"} if language in ("rust", "go") else _KEYWORDS) or m.start() in methods or declared.search(blank, 0, m.start()):
                 continue
-            if not (language == "go" and m[1] in GO_BUILTINS):
+            if not (language == "go" and (m[1] in GO_BUILTINS or any(a <= m.start() < b for a, b in contracts))):
                 found.append(("calls", m[1], line(m.start())))
         if language == "go":
             for m in re.finditer(r'(?m)^import\s*(?:\(([^)]*)\)|(?:[\w.]+\s+)?("[^"\n]*"))', blank):

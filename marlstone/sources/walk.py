@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +44,38 @@ def gitignored(root: str) -> list[str]:
     return out
 
 
+def _hidden(root: str) -> list[str]:
+    """Directories and files that Spark's own listing passes over, the topmost of each."""
+    out = []
+    for at, dirs, names in os.walk(root):
+        hide = [d for d in dirs if d[0] in "._"]
+        out += [os.path.join(at, x) for x in [*hide, *(n for n in names if n[0] in "._")] if x != ".git"]
+        dirs[:] = [d for d in dirs if d not in hide]
+    # below a hidden directory there may be hidden ones again
+    return [*out, *[x for d in out if os.path.isdir(d) for x in _hidden(d)]]
+
+
+def _opened(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Single files by path, where their file system is mounted."""
+    for paths in parts:
+        for p in paths["path"]:
+            with open(p, "rb") as file:
+                data = file.read()
+            at = pd.Timestamp(os.stat(p).st_mtime_ns // 1_000_000, unit="ms")
+            yield pd.DataFrame({"path": [p], "modificationTime": [at], "length": [len(data)], "content": [data]})
+
+
 def scan(spark: SparkSession, directory: str, excludes: Sequence[str] = EXCLUDES, extensions: Sequence[str] = T.EXTENSIONS, content: bool = True, gitignore: bool = True) -> DataFrame:
     """``filename, modified_at, length, content`` of the files below a directory, hidden ones too.
 
     Without ``content`` only the listing is read. An extension counts as it is spelt.
     """
     ignore = gitignored(directory) if gitignore and os.path.isdir(directory) else []
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    more = _hidden(directory) if os.path.isdir(directory) else []
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([directory, *(p for p in more if os.path.isdir(p))])
+    single = [(p,) for p in more if os.path.isfile(p) and p.rpartition(".")[2] in extensions]
+    if single:
+        rows = rows.unionByName(spark.createDataFrame(single, "path string").mapInPandas(_opened, rows.schema))
     name = T.normal_path(F.regexp_replace("path", "^file:/+", "/"))
     found = rows.select(name.alias("filename"), F.col("modificationTime").alias("modified_at"), "length", *(["content"] if content else []))
     return found.where(T.extension(F.col("filename")).isin(list(extensions)) & ~excluded(F.col("filename"), [*excludes, *ignore]))
