@@ -99,7 +99,7 @@ def code_language(name: Column) -> Column:
 
 def count_of(c: Column, inside: str) -> Column:
     """Characters of ``c`` in a class."""
-    return F.length(F.regexp_replace(c, f"[^{inside}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{inside}]+", ""))
 
 
 def has_han(c: Column) -> Column:
@@ -108,18 +108,22 @@ def has_han(c: Column) -> Column:
 
 def detect_language(c: Column) -> Column:
     """zh, ja, ko, en, mixed or unknown, by shares of letters per script."""
-    total = count_of(c, r"\p{L}\p{Nl}")
-    han = count_of(c, "\\u3400-\\u4dbf\\u4e00-\\u9fff")
-    kana = count_of(c, "\\u3041-\\u3096\\u309d-\\u309f\\u30a1-\\u30fa\\u30fc-\\u30ff")
-    hangul = count_of(c, "\\uac00-\\ud7a3")
-    east = F.try_divide(han + kana + hangul, total)
-    latin = F.try_divide(count_of(c, "A-Za-z"), total)
-    return (
-        F.when(c.isNull(), F.lit(None)).when(total == 0, "unknown")
-        .when((kana > han) & (kana > hangul) & (east > 0.1), "ja").when((hangul > 0) & (east > 0.1), "ko")
-        .when(east > 0.3, "zh").when(latin > 0.8, "en").otherwise("mixed")
+    counts = F.struct(
+        count_of(c, r"\p{L}\p{Nl}").alias("total"), count_of(c, "\\u3400-\\u4dbf\\u4e00-\\u9fff").alias("han"),
+        count_of(c, "\\u3041-\\u3096\\u309d-\\u309f\\u30a1-\\u30fa\\u30fc-\\u30ff").alias("kana"), count_of(c, "\\uac00-\\ud7a3").alias("hangul"),
+        count_of(c, "A-Za-z").alias("latin"),
     )
 
+    def label(n: Column) -> Column:
+        east = F.try_divide(n["han"] + n["kana"] + n["hangul"], n["total"])
+        return (
+            F.when(n["total"].isNull(), F.lit(None)).when(n["total"] == 0, "unknown")
+            .when((n["kana"] > n["han"]) & (n["kana"] > n["hangul"]) & (east > 0.1), "ja").when((n["hangul"] > 0) & (east > 0.1), "ko")
+            .when(east > 0.3, "zh").when(F.try_divide(n["latin"], n["total"]) > 0.8, "en").otherwise("mixed")
+        )
+
+    return F.get(F.transform(F.array(counts), label), F.lit(0))  # each count is taken once
+
 
 def split_identifier(c: Column) -> Column:
     """Lower-case parts at underscores, or else at upper-case letters."""

@@ -8,8 +8,10 @@ k rows a task; only those are joined with their texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +69,57 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int
     """``query_id, id, similarity, rank`` for many queries (``query_id, embedding``).
 
     A stated set of queries against all rows, in blocks of ``block`` queries:
-    each block is small and every task holds it; a task sends its best k only.
+    each block is small and every task holds it; a batch of rows sends its best
+    k only. Null and zero vectors and unlike lengths take no part.
     """
-    rows = vectors.select("chunk_id", "embedding").where(F.col("embedding").isNotNull()).dropDuplicates(["chunk_id"])
-    asked = queries.dropDuplicates(["query_id"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    parts = [r[0] for r in asked.select("part").distinct().orderBy("part").collect()]
+    width = F.size("embedding")
+    rows = vectors.select(F.col("chunk_id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where(width > 0)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").where(width > 0).dropDuplicates(["query_id"])
+    n_parts = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)))
+    schema = "query_id bigint, id bigint, distance double"
     found = None
-    for p in parts:
-        q = asked.where(F.col("part") == p).select("query_id", F.col("embedding").alias("asked"))
-        pairs = rows.join(F.broadcast(q), F.size("embedding") == F.size("asked"))  # at most a block of queries
-        scored = pairs.select("query_id", F.col("chunk_id").alias("id"), F.round(V.cosine_distance(F.col("embedding"), F.col("asked")), 9).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        best = scored.where(F.col("distance").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
+    for p in range(n_parts):
+        held = asked.where(F.col("part") == p).select("query_id", "embedding").collect()  # about a block of queries
+        if held:
+            best = rows.mapInArrow(_scorer({r[0]: r[1] for r in held}, k), schema)
+            found = best if found is None else found.unionByName(best)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
-    return found.select("query_id", "id", F.round(V.similarity(F.col("distance")), 6).alias("similarity"), "rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    ranked = found.dropDuplicates(["query_id", "id"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", "id", F.round(V.similarity(F.col("distance")), 6).alias("similarity"), "rank")
+
+
+def _scorer(queries: dict[int, Sequence[float]], k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distances of a batch's vectors to the queries of their length, as one product; the best k of a batch go on."""
+    by_width: dict[int, list[int]] = {}
+    for q, v in queries.items():
+        by_width.setdefault(len(v), []).append(q)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sides = {w: (np.array(qs), unit(np.array([queries[q] for q in qs], np.float64))) for w, qs in by_width.items()}
+            for b in batches:
+                ids, column = b["id"].to_numpy(zero_copy_only=False), b["embedding"]
+                widths = column.value_lengths().to_numpy(zero_copy_only=False)
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for w, (names, q) in sides.items():
+                    at = np.flatnonzero(widths == w)
+                    x = unit(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, w))
+                    own, first = np.unique(ids[at], return_index=True)
+                    distance = np.round(1 - q @ x[first].T, 9)
+                    for name, d in zip(names, distance, strict=True):
+                        good = np.flatnonzero(np.isfinite(d))
+                        if len(good) > k:
+                            good = good[d[good] <= np.partition(d[good], k - 1)[k - 1]]  # ties with the last stay in
+                        out.append((np.full(len(good), name), own[good], d[good]))
+                if out:
+                    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "id", "distance"])
+
+    return run
 
 
 def keywords(query: str) -> list[str]:
