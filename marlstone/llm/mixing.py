@@ -110,6 +110,13 @@ def plan(targets: list[tuple[str, float, int]], has: dict[str, int], total: int
     return [Plan(s, t, r, has.get(s, 0), wanted[s]) for s, t, r in targets]
 
 
+def largest_exact_total(targets: list[tuple[str, float, int]], has: dict[str, int]) -> int:
+    """The largest mixture in which every source that has documents gets its share, those without left aside."""
+    able = [(t, has[s] * r) for s, t, r in targets if t > 0 and r > 0 and has.get(s)]
+    weight = sum(t for t, _ in able)
+    return min((int(cap * weight / t) for t, cap in able), default=0)
+
+
 def _order(*key: Column) -> Column:
     return F.xxhash64(*key)
 

@@ -170,6 +170,13 @@ def test_plan_fills_caps_and_shares_the_rest():
     assert plans["b"] == 50 and abs(plans["a"] / plans["c"] - 2.5) < 0.02 and sum(plans.values()) in range(898, 901)
 
 
+def test_largest_exact_total():
+    targets, has = [("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, 1)], {"a": 1000, "b": 60}
+    n = mixing.largest_exact_total(targets, has)
+    plans = {p.source: p.wanted for p in mixing.plan(targets, has, n)}
+    assert n == 360 and plans == {"a": 240, "b": 120, "c": 0} and mixing.largest_exact_total(targets, {}) == 0
+
+
 def test_schedule_follows_weights_everywhere(spark):
     plans = mixing.plan([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], {"a": 10**7, "b": 10**7, "c": 10**7}, 4_096_000)
     rows = sorted((r["slot"], r["source"], r["rank"]) for r in mixing.schedule(spark, plans).collect())
