@@ -141,6 +141,12 @@ def preview(c: Column, n: int = 120) -> Column:
     return F.translate(F.substring(c, 1, n), "\n", " ")
 
 
+def version_key(c: Column) -> Column:
+    """Major, minor and patch of ``v1.2.3`` as numbers, to be compared; null for other texts."""
+    part = lambda i: F.coalesce(F.regexp_extract(c, r"^\s*[vV]?(\d+)(?:\.(\d+))?(?:\.(\d+))?", i).try_cast("int"), F.lit(0))
+    return F.when(c.rlike(r"^\s*[vV]?\d+"), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+
+
 _STOPS = frozenset(".!?\n。")
 
 

@@ -131,9 +131,10 @@ class Store:
         folders = manifest["tables"].setdefault(name, {})
         for b in buckets:
             folders.pop(str(b), None)
-        full = T.StructType([*schemas.stored(name).fields, T.StructField("bucket", T.IntegerType())])
-        for r in self.spark.read.schema(full).parquet(f"{self.root}/{folder}").select("bucket").distinct().collect():  # at most BUCKETS
-            folders[str(r[0])] = folder
+        for entry in self._fs.listStatus(self._path(f"{self.root}/{folder}")):  # at most BUCKETS
+            kind, _, value = entry.getPath().getName().partition("=")
+            if kind == "bucket":
+                folders[value] = folder
 
     def _touched(self, names: DataFrame) -> list[int]:
         return sorted(r[0] for r in names.select(bucket_of(F.col("filename")).alias("b")).distinct().collect())  # at most BUCKETS

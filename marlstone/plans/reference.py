@@ -612,6 +612,13 @@ def code_relation_rows(spark: SparkSession, d: str) -> DataFrame:
     return code.relation_rows(code.symbol_rows(files_))
 
 
+@query("""SELECT v, CASE WHEN regexp_matches(v, '^v?[0-9]') THEN list_transform(string_split(ltrim(v, 'v') || '.0.0', '.')[1:3], lambda x: CAST(x AS INTEGER)) > [3, 0, 0] END AS newer
+FROM (SELECT unnest(['v3.0.1', '2.9.9', '3.0.0', '10.0', 'v3', 'none']) AS v)""")
+def version_newer(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(v,) for v in ("v3.0.1", "2.9.9", "3.0.0", "10.0", "v3", "none")], "v string")
+    return rows.select("v", (T.version_key(F.col("v")) > T.version_key(F.lit("3.0.0"))).alias("newer"))
+
+
 # -- stream
 
 @query("""SELECT to_timestamp(floor(epoch_us(ts) / 500000) * 0.5)::TIMESTAMP AS window_start, user_id AS key, count(*) AS n FROM events GROUP BY ALL""")
