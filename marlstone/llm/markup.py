@@ -32,7 +32,8 @@ BARE = """item alpha beta gamma delta epsilon lambda mu pi sigma theta omega cdo
 to rightarrow maketitle tableofcontents newpage noindent par hline centering bigskip medskip smallskip LaTeX TeX quad qquad left right""".split()
 
 _ATTRIBUTE = r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+)|\s+(?:disabled|checked|hidden|async|defer|selected|required|readonly))"""
-#: Patterns of each kind under the literal that a match can't do without.
+#: Patterns of each kind under the literal that a match can't do without. What stands beside a sign is looked
+#: at as Latin letters only: Han and kana have no space between word and markup.
 _PARTS: dict[str, list[tuple[str, str]]] = {
     "html": [
         ("<!--", r"<!--(?s:.*?)(?:-->|\Z)"), ("<!", r"(?i:<!doctype[^<>]*>)"),
@@ -41,9 +42,9 @@ _PARTS: dict[str, list[tuple[str, str]]] = {
     ],
     "latex": [
         ("\\begin", r"\\begin\s*\{[^{}\n]*\}"), ("\\end", r"\\end\s*\{[^{}\n]*\}"),
-        ("\\", rf"(?<![\w:\\])\\(?:{'|'.join(BARE)})(?![A-Za-z\\])"), ("\\", r"(?<![\w:\\])~?\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*\{"),
-        ("\\[", r"\\\[(?s:.+?)\\\]"), ("\\(", r"\\\((?s:.+?)\\\)"), ("$$", r"(?<![\w\\$])\$\$(?s:.+?)\$\$"),
-        ("$", r"(?<![\w\\$])\$(?=[^\s$])(?=[^$\n]*[\\^_=+{}()])[^$\n]*[^\s$\\]\$(?![\w$])"),
+        ("\\", rf"(?<![A-Za-z0-9_:\\])\\(?:{'|'.join(BARE)})(?![A-Za-z\\])"), ("\\", r"(?<!\\)~?\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*\{"),
+        ("\\[", r"\\\[(?s:.+?)\\\]"), ("\\(", r"\\\((?s:.+?)\\\)"), ("$$", r"(?<![A-Za-z0-9_\\$])\$\$(?s:.+?)\$\$"),
+        ("$", r"(?<![A-Za-z0-9_\\$])\$(?=[^\s$])(?=[^$\n]*[\\^_=+{}()])[^$\n]*[^\s$\\]\$(?![A-Za-z0-9_$])"),
     ],
     "wiki": [
         ("[[", r"\[\[[^\[\]\n]+\]\]"), ("{{", r"\{\{[^{}\n]+\}\}"), ("''", r"(?<!')'{2,5}(?=[^\s'])[^'\n]*(?:'[^'\n]+)*?'{2,5}(?!')"),
@@ -56,10 +57,10 @@ _PARTS: dict[str, list[tuple[str, str]]] = {
         ("===", r"(?m:^(?![ \t]*[|>{<\\])[^\n]*\w[^\n]*\n {0,3}={3,}[ \t]*$)"), ("---", r"(?m:^(?![ \t]*[|>{<\\])[^\n]*\w[^\n]*\n {0,3}-{3,}[ \t]*$)"),
         ("-", r"(?m:^ {0,3}-(?:[ \t]*-){2,}[ \t]*$)"), ("*", r"(?m:^ {0,3}\*(?:[ \t]*\*){2,}[ \t]*$)"), ("_", r"(?m:^ {0,3}_(?:[ \t]*_){2,}[ \t]*$)"),
         (">", r"(?m:^ {0,3}>[ \t]?\S)"), ("|", r"(?m:^[ \t]*\|(?!.*\|\|)[^\n]*[^|\s][ \t]*\|[ \t]*$)"), ("] ", r"(?m:^[ \t]*[-*+][ \t]+\[[ xX]\][ \t])"),
-        ("`", r"(?<!`)(?:`[^`\n]+`|``(?!`)[^\n]+?(?<!`)``)(?!`)"), ("](", r"!?(?<!\w)\[[^\]\n]*\]\([^()\s]*(?:\([^()\s]*\))?(?:[ \t]+\"[^\"\n]*\")?\)"),
-        ("][", r"(?<![\w\]])\[[^\]\[\n]+\]\[[^\]\[\n]*\]"), ("]:", r"(?m:^ {0,3}\[[^\]\n]+\]:[ \t]*\S+.*$)"), ("[^", r"\[\^[^\]\s]+\]"),
-        ("**", r"(?<![\w*])\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*(?!\*)|(?<=\w)\*\*(?=[^\s*])[^*\n]*?[^\s*]\*\*"), ("__", r"(?<![\w_])__(?=[^\s_])[^\n]*?[^\s_]__(?![\w_])"),
-        ("*", r"(?<![\w*])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![\w*])"), ("_", r"(?<![\w_/.])_(?=[^\s_])[^_\n]*?[^\s_]_(?![\w_/.])"), ("~~", r"~~(?=[^\s~])[^~\n]*[^\s~]~~"),
+        ("`", r"(?<!`)(?:`[^`\n]+`|``(?!`)[^\n]+?(?<!`)``)(?!`)"), ("](", r"!?(?<![A-Za-z0-9_])\[[^\]\n]*\]\([^()\s]*(?:\([^()\s]*\))?(?:[ \t]+\"[^\"\n]*\")?\)"),
+        ("][", r"(?<![A-Za-z0-9_\]])\[[^\]\[\n]+\]\[[^\]\[\n]*\]"), ("]:", r"(?m:^ {0,3}\[[^\]\n]+\]:[ \t]*\S+.*$)"), ("[^", r"\[\^[^\]\s]+\]"),
+        ("**", r"(?<![A-Za-z0-9_*])\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*(?!\*)|(?<=\w)\*\*(?=[^\s*])[^*\n]*?[^\s*]\*\*"), ("__", r"(?<![A-Za-z0-9_])__(?=[^\s_])[^\n]*?[^\s_]__(?![A-Za-z0-9_])"),
+        ("*", r"(?<![A-Za-z0-9_*])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![A-Za-z0-9_*])"), ("_", r"(?<![A-Za-z0-9_/.])_(?=[^\s_])[^_\n]*?[^\s_]_(?![A-Za-z0-9_/.])"), ("~~", r"~~(?=[^\s~])[^~\n]*[^\s~]~~"),
         ("<http", r"<https?://[^\s<>]+>"),
     ],
 }
@@ -177,7 +178,7 @@ def fit_weights(pages: Iterable[str] = LABELLED) -> dict[str, float]:
 WEIGHTS = fit_weights()
 
 _CODE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n(.*?)(?:^ {0,3}\1[ \t]*$|\Z)")
-_MATH = re.compile(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|math|displaymath)\*?\}.*?\\end\{\1\*?\}|(?<![\w\\$])\$(?=[^\s$])(?=[^$\n]*[\\^_=+{}()])[^$\n]*[^\s$\\]\$(?![\w$])")
+_MATH = re.compile(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|math|displaymath)\*?\}.*?\\end\{\1\*?\}|(?<![A-Za-z0-9_\\$])\$(?=[^\s$])(?=[^$\n]*[\\^_=+{}()])[^$\n]*[^\s$\\]\$(?![A-Za-z0-9_$])")
 #: Under the literals of which a text must have one: what is replaced, and by what.
 _STEPS: list[tuple[tuple[str, ...], re.Pattern[str], str]] = [(x, re.compile(a, f), b) for x, a, f, b in (
     (("<!--","<",), r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I, ""),
@@ -205,9 +206,9 @@ _STEPS: list[tuple[tuple[str, ...], re.Pattern[str], str]] = [(x, re.compile(a,
     (("|",), r"^[ \t]*\|[ \t]*(.*?)[ \t]*\|?[ \t]*$", re.M, r"\1"),
     (("](",), r"!?\[([^\]\n]*)\]\([^()\n]*\)", 0, r"\1"),
     (("]:","[^",), r"^ {0,3}\[[^\]\n]+\]:[ \t]*\S+.*$|\[\^[^\]\s]+\]", re.M, ""),
-    (("][",), r"(?<![\w\]])\[([^\]\[\n]+)\]\[[^\]\[\n]*\]", 0, r"\1"),
-    (("**","__","~~",), r"\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*|(?<![\w_])__(?=[^\s_])([^\n]*?[^\s_])__(?![\w_])|~~(?=[^\s~])([^~\n]*[^\s~])~~", 0, r"\1\2\3"),
-    (("*",), r"(?<![\w*])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])", 0, r"\1"),
+    (("][",), r"(?<![A-Za-z0-9_\]])\[([^\]\[\n]+)\]\[[^\]\[\n]*\]", 0, r"\1"),
+    (("**","__","~~",), r"\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*|(?<![A-Za-z0-9_])__(?=[^\s_])([^\n]*?[^\s_])__(?![A-Za-z0-9_])|~~(?=[^\s~])([^~\n]*[^\s~])~~", 0, r"\1\2\3"),
+    (("*",), r"(?<![A-Za-z0-9_*])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![A-Za-z0-9_*])", 0, r"\1"),
     (("`",), r"`([^`\n]+)`", 0, r"\1"),
     (("|",), r"[ \t]*(?:\|\||(?<=\S) \| )[ \t]*", 0, "\t"),
 )]

@@ -14,6 +14,7 @@ MARKUP = [
     ("\\section{A}", {"latex"}), ("$x^2$", {"latex"}), ("\\[ a \\]", {"latex"}), ("\\begin{x}\n\\item a\n\\end{x}", {"latex"}), ("a~\\cite{b}", {"latex"}),
     ("It costs $17 to $93 per run", set()), ("Press [Enter] twice, layer[2]", set()), ("D:\\alias\\policy is fine", set()), ("5 * 4 * 2", set()), ("a < b and c > d", set()), ("R&D", set()),
     ("- a\n- b\n1. c", set()), ("x == y holds", set()), ("Use {buffer} here", set()), ("a | b | c", set()), ("ticket #4458", set()), ("snake_case_name _x", set()), ("it's d'un", set()), ("", set()),
+    ("写し\\emph{がまだ}用意", {"latex"}), ("查询$x^2$数", {"latex"}), ("可以**手动**修改", {"markdown"}), ("可以__手动__修改", {"markdown"}), ("点击[链接](a.md)后", {"markdown"}), ("a__b__c", set()),
     ("**a** [[b]]\n<p>", {"markdown", "wiki", "html"}),
 ]
 
