@@ -140,7 +140,7 @@ class HttpEmbedder:
 
 
 #: Where a key may stand, the first one counts.
-KEY_VARIABLES = ("MARLSTONE_API_KEY", "EMBEDDING_API_KEY", "OPENAI_API_KEY")
+KEY_VARIABLES = ("MARLSTONE_API_KEY", "EMBEDDING_API_KEY")
 
 
 def from_config(config: dict) -> Embedder:
