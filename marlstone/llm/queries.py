@@ -111,4 +111,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM vec_chunks
+           WHERE len(embedding) = 64 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
+q AS (SELECT DISTINCT chunk_id AS p, e AS qe FROM v JOIN knn_probes USING (chunk_id)),
+s AS (SELECT p, chunk_id, row_number() OVER (PARTITION BY p ORDER BY list_cosine_similarity(e, qe) DESC, chunk_id) AS k FROM v, q WHERE chunk_id <> p)
+SELECT p AS chunk_id, chunk_id AS neighbour_id FROM s WHERE k <= 10""",
+}
