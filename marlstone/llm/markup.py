@@ -1,9 +1,10 @@
 """Markup residue in text documents.
 
 A text is read as a run of tokens, words and markup of four kinds. Every token
-has a score, words above and markup below zero; the contiguous run with the
-greatest sum is the content, found in one scan (maximum-scoring subsequence).
-What is kept is then written as plain text with headings (``# ``), list items
+has a score, words above zero, structure (headings, lists, tables, code,
+formulas, emphasis) at zero and other markup below; the contiguous run with the
+greatest sum, found in one scan (maximum-scoring subsequence), is widened to
+whole lines, blocks and structural elements and is the content. What is kept is then written as plain text with headings (``# ``), list items
 (``- ``), fenced code and formulas in place.
 """
 
@@ -118,22 +119,31 @@ LABELLED = (
     "«When the lease ends, the worker stops. It **must not** go on.»\n[[Category:Jobs]] {{nav}} [[a]] [[b]]",
 )
 _WORDS = re.compile(r"\w+")
-#: Tags that carry structure stand among content; others more often stand around it.
-_STRUCTURE = re.compile(r"</?(?:p|br|h[1-6]|li|ul|ol|pre|code|td|th|tr|table|b|i|em|strong|blockquote|sub|sup)\b|&", re.I)
+#: Markup that carries structure or form scores nothing; links, references, layout and scripts stand around content more often.
+_STRUCTURE = re.compile(
+    r"</?(?:p|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|pre|code|kbd|samp|var|td|th|tr|table|thead|tbody|tfoot|caption|b|i|u|s|q|em|strong|small|mark|cite|del|ins|blockquote"
+    r"|section|article|main|figure|figcaption|sub|sup)\b|&", re.I)
+_AROUND = re.compile(r"!?\[(?!\[ xX]\][ \t])|<http|\{\{|</?(?:ref|nowiki|gallery)\b|__[A-Z]+TOC__|__TOC__|~?\\(?:cite|ref|label|pageref|eqref|bibliography|usepackage|documentclass)\b", re.I)
+#: Between these tags a line goes on.
+_INLINE = re.compile(r"</?(?:a|abbr|b|i|u|s|q|em|strong|small|big|mark|cite|del|ins|code|kbd|samp|var|sub|sup|span|font|img|time|tt|strike|label|input|button|select|option|ref|nowiki)\b|&|<!--", re.I)
+_SCRIPT = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 
 
 def _tokens(text: str) -> list[tuple[int, int, str]]:
     marks = spans(text)
+    if "<s" in text or "<S" in text:
+        for m in _SCRIPT.finditer(text):  # a script is one tag, its words are none
+            marks = sorted([x for x in marks if not m.start() <= x[0] < m.end()] + [(m.start(), m.end(), "html")])
     out, at = [], 0
     for start, end, kind in [*marks, (len(text), len(text), "")]:
         out += [(m.start() + at, m.end() + at, "word") for m in _WORDS.finditer(text[at:start])]
         if kind:
             piece = text[start:end]
-            if kind == "html" and not _STRUCTURE.match(piece):
-                out.append((start, end, "tag"))
+            if kind == "html":
+                out.append((start, end, "structure" if _STRUCTURE.match(piece) else "tag"))
             else:
-                out.append((start, end, "mark"))
-                out += [(start, end, "word")] * (0 if kind == "html" else len(_WORDS.findall(piece)))
+                out.append((start, end, "mark" if _AROUND.match(piece) else "structure"))
+                out += [(start, end, "word")] * len(_WORDS.findall(piece))
         at = max(at, end)
     return out
 
@@ -150,18 +160,79 @@ def best_run(scores: Sequence[float]) -> tuple[int, int]:
     return best
 
 
+#: What opens and closes an element that is kept whole: tags, environments, fences, tables of wiki.
+_EDGE = re.compile(
+    r"<(?P<shut>/?)(?P<tag>h[1-6]|li|ul|ol|dl|table|tr|td|th|pre|code|blockquote)\b[^<>]*>|\\(?P<verb>begin|end)\s*\{(?P<env>[^{}\n]*)\}"
+    r"|(?m:^ {0,3}(?P<fence>`{3,}|~{3,}))|(?m:^(?:(?P<wiki>\{\|)|\|\}))", re.I)
+#: Elements that a chunk may hold the end or the beginning of only; others may lack a closing tag anywhere.
+_LONG = {"ul", "ol", "dl", "table", "pre", "blockquote", "fence", "wiki"}
+
+
+def _elements(text: str) -> list[tuple[int, int]]:
+    """Start and end of the structural elements; one that is cut reaches to the end of the text, or from its start."""
+    out: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    fence = ""
+    for m in _EDGE.finditer(text):
+        if fence and not (m["fence"] or "").startswith(fence):
+            continue
+        if m["fence"]:
+            name, opens = "fence", not fence
+            fence = m["fence"] if opens else ""
+        elif m["tag"]:
+            name, opens = m["tag"].lower(), not m["shut"]
+        elif m["verb"]:
+            name, opens = "\\" + m["env"], m["verb"].lower() == "begin"
+        else:
+            name, opens = "wiki", bool(m["wiki"])
+        if opens:
+            opened.append((name, m.start()))
+            continue
+        at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
+        if at is not None:
+            out.append((opened[at][1], m.end()))
+            del opened[at:]
+        elif name in _LONG or name[0] == "\\":
+            out.append((0, m.end()))
+    return out + [(start, len(text)) for name, start in opened if name in _LONG or name[0] == "\\"]
+
+
+def _widened(text: str, tokens: list[tuple[int, int, str]], start: int, end: int) -> tuple[int, int]:
+    """The region out to the ends of its lines or blocks, the structure that touches it, and whole elements."""
+    tags = [(a, b) for a, b, k in tokens if text[a : a + 1] == "<" and k != "word" and not _INLINE.match(text, a)]
+    whole = _elements(text)
+    around = [t for t in tokens if t[2] != "word" and t[0] < t[1]]
+    while True:
+        was = start, end
+        start = max([0, text.rfind("\n", 0, start) + 1, *[b for _, b in tags if b <= start]])
+        stop = text.find("\n", end)
+        end = min([len(text) if stop < 0 else stop, *[a for a, _ in tags if a >= end]])
+        for a, b, k in reversed(around):
+            if b <= start and k == "structure" and not text[b:start].strip():
+                start = a
+        for a, b, k in around:
+            if a >= end and k == "structure" and not text[end:a].strip():
+                end = b
+        for a, b in whole:
+            if a < end and b > start:
+                start, end = min(a, start), max(b, end)
+        if (start, end) == was:
+            return start, end
+
+
 def content(text: str, weights: dict[str, float]) -> tuple[int, int]:
     """Start and end of the content region; the whole text where nothing scores."""
     tokens = _tokens(text)
     a, b = best_run([weights[k] for _, _, k in tokens])
-    if a == b:
+    if a == b or (a == 0 and b == len(tokens)):
         return 0, len(text)
     # signs and white space at the outer ends belong to the region when no token lies beyond
-    return (0 if a == 0 else tokens[a][0]), (len(text) if b == len(tokens) else tokens[b - 1][1])
+    start, end = _widened(text, tokens, 0 if a == 0 else tokens[a][0], len(text) if b == len(tokens) else tokens[b - 1][1])
+    return (0 if start <= tokens[0][0] else start), (len(text) if end >= tokens[-1][1] else end)
 
 
 def fit_weights(pages: Iterable[str] = LABELLED) -> dict[str, float]:
-    """Scores of tags and marks, with a word at 1, that put the region nearest to the labels."""
+    """Scores of tags and marks, with a word at 1 and structure at 0, that put the region nearest to the labels."""
     marked = [(p.replace("«", "").replace("»", ""), p.index("«"), p.index("»") - 1) for p in pages]
 
     def overlap(w: dict[str, float]) -> float:
@@ -171,7 +242,7 @@ def fit_weights(pages: Iterable[str] = LABELLED) -> dict[str, float]:
             total += max(0, min(b, y) - max(a, x)) / (max(b, y) - min(a, x))
         return total
 
-    options = [{"word": 1.0, "tag": -t / 4, "mark": -m / 8} for t in range(1, 25) for m in range(1, 9)]
+    options = [{"word": 1.0, "structure": 0.0, "tag": -t / 4, "mark": -m / 8} for t in range(1, 25) for m in range(1, 9)]
     return max(options, key=overlap)
 
 

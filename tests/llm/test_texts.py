@@ -154,3 +154,28 @@ def test_chunks_of_files(spark):
     chunks = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, None)], "id bigint, document_id bigint")
     assert [r["id"] for r in files.chunks_of(chunks, docs, files.SOURCE).collect()] == [1]
     assert [r["id"] for r in files.chunks_of(chunks, docs, files.TEXT, "filename").collect()] == [2]
+
+
+WHOLE = [
+    "<h1>Limits</h1>\nA shard holds many rows.", "A shard holds many rows.\n<h2>Limits</h2>", "<ul>\n<li>path</li>\n<li>file</li>\n</ul>", "<pre><code>a = 1\nb = a</code></pre>\nThen it stops.",
+    "<p>There are four cases.</p>\n" + "".join(f"<tr><td>key</td><td>{i}</td></tr>\n" for i in range(9)), "<table><tr><td>a</td><td>b</td></tr></table>", "\\section{Limits} A shard holds rows.",
+    "\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}", "\\begin{equation}\na = b\n\\end{equation}\nIt holds.", "```\nx\n```", "| a | b |\n|---|---|\n| 1 | 2 |", "== Limits ==\nText here.", "<a href=\"/w\">The</a> writer stops.", "It stops at the <a href=\"/w\">writer</a>",
+    "one</li>\n<li>two</li>\n</ul>\n<p>Next</p>", "# Limits\n- one\n- two\n$x^2$", "Words here.\n<h3><a href=\"/x\">Limits</a></h3>",
+]
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_content_keeps_structure_at_its_ends(text):
+    a, b = markup.content(text, markup.WEIGHTS)
+    assert markup.plain(text[a:b]) == markup.plain(text)
+
+
+@pytest.mark.parametrize("page", markup.LABELLED[:3])
+def test_content_ends_where_the_label_does(page):
+    a, b = markup.content(page.replace("«", "").replace("»", ""), markup.WEIGHTS)
+    assert (a, b) == (page.index("«"), page.index("»") - 1)
+
+
+def test_cleaned_keeps_structure(spark):
+    rows = spark.createDataFrame(list(enumerate(WHOLE)), "id bigint, t string")
+    assert {r["id"]: r["clean"] for r in markup.cleaned(rows, "id", "t").collect()} == {i: markup.plain(t) for i, t in enumerate(WHOLE)}
