@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.arrow import map_columns
 from marlstone.session import written
 
-BINS, ROWS, BANDS = 128, 5, 20
+#: All bins are in a band: a pair at similarity 0.7 shares none of 32 bands of 4 with probability 0.00015.
+BINS, ROWS, BANDS = 128, 4, 32
 #: Sketch bits that agree: a pair at similarity 0.7 has 108.8 of 128 on average, with a deviation of 4.
-AGREE = 98
+AGREE = 92
 #: Needed ids up to this number are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,59 +102,57 @@ def _usable(rows: DataFrame, row_id: str, text: str, least: int) -> DataFrame:
 
 
 def text_nodes(rows: DataFrame, row_id: str, text: str, least: int, width: int = 5) -> DataFrame:
-    """``id, node, more``: 128 bits of a hash of the normalised text, so equal texts share them."""
+    """``id, node, more, s1, s2``: 128 bits of a hash of the normalised text, so equal texts share them, and its sketch."""
 
     def f(b: dict[str, pa.Array]) -> dict[str, object]:
-        ids, node, more = [], [], []
-        for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-            t = normal(t)
-            if len(t) >= width:
-                h = xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass"))
-                ids.append(i)
-                node.append(h & 0xFFFFFFFFFFFFFFFF)
-                more.append(h >> 64)
-        return {"id": ids, "node": np.array(node, np.uint64).view(np.int64), "more": np.array(more, np.uint64).view(np.int64)}
+        kept = [(i, t) for i, t in zip(b["id"].to_pylist(), map(normal, b["text"].to_pylist()), strict=True) if len(t) >= width]
+        texts = {t: k for k, t in enumerate(dict.fromkeys(t for _, t in kept))}
+        of = np.array([texts[t] for _, t in kept], np.int64)
+        h = [xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        node, more = (np.array([x >> k & 0xFFFFFFFFFFFFFFFF for x in h], np.uint64).view(np.int64) for k in (0, 64))
+        s = _signed(list(texts), width)[1]
+        return {"id": [i for i, _ in kept], "node": node[of], "more": more[of], "s1": s[of, 0], "s2": s[of, 1]}
 
-    return map_columns(_usable(rows, row_id, text, least), f, "id bigint, node bigint, more bigint")
+    return map_columns(_usable(rows, row_id, text, least), f, "id bigint, node bigint, more bigint, s1 bigint, s2 bigint")
+
+
+def _signed(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """bands_and_sketch of any number of texts."""
+    parts = [bands_and_sketch(signatures(texts[at : at + 2000], width)) for at in range(0, len(texts), 2000)]
+    if not parts:
+        return np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.int64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
 
 
 def band_rows(rows: DataFrame, row_id: str, text: str, least: int, width: int = 5) -> DataFrame:
-    """``band, node, s1, s2``: BANDS rows for each distinct text of a batch."""
+    """``band, node``: BANDS rows for each distinct text of a batch.
+
+    The sketch stays behind: it would double what the exchange by band writes.
+    """
 
     def f(b: dict[str, pa.Array]) -> dict[str, object]:
         texts = list({t: None for t in map(normal, b["text"].to_pylist()) if len(t) >= width})
-        if not texts:
-            return {"band": [], "node": [], "s1": [], "s2": []}
         node = np.array([xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) & 0xFFFFFFFFFFFFFFFF for t in texts], np.uint64).view(np.int64)
-        keys, sketch = [], []
-        for at in range(0, len(texts), 2000):
-            k, s = bands_and_sketch(signatures(texts[at : at + 2000], width))
-            keys.append(k)
-            sketch.append(s)
-        k, s = np.concatenate(keys), np.concatenate(sketch)
-        return {"band": k.ravel(), "node": np.repeat(node, BANDS), "s1": np.repeat(s[:, 0], BANDS), "s2": np.repeat(s[:, 1], BANDS)}
+        return {"band": _signed(texts, width)[0].ravel(), "node": np.repeat(node, BANDS)}
 
-    return map_columns(_usable(rows, row_id, text, least), f, "band bigint, node bigint, s1 bigint, s2 bigint")
+    return map_columns(_usable(rows, row_id, text, least), f, "band bigint, node bigint")
 
 
 def _alike(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return (F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))) <= 128 - AGREE
 
 
-def starred(bands: DataFrame) -> DataFrame:
+def starred(bands: DataFrame, nodes: DataFrame) -> DataFrame:
     """Bucket members other than their bucket's hub: ``band, hub, node, s1, s2, near``.
 
     The hub is the bucket's least node; first values of a sorted run need no
-    buffer, and buckets of one text end here.
+    buffer, and buckets of one text end here. Sketches are joined to the rest.
     """
     w = Window.partitionBy("band").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hub = F.first(F.struct("node", "s1", "s2")).over(w).alias("hub")
-    return (
-        bands.select("band", "node", "s1", "s2", hub)
-        .where(F.col("node") != F.col("hub.node"))
-        .select("band", F.col("hub.node").alias("hub"), "node", "s1", "s2",
-                _alike(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2")).alias("near"))
-    )
+    rest = bands.select("band", "node", F.first("node").over(w).alias("hub")).where(F.col("node") != F.col("hub")).distinct()
+    sketch = nodes.groupBy("node").agg(F.min_by("s1", "more").alias("s1"), F.min_by("s2", "more").alias("s2"))
+    hubs = sketch.select(F.col("node").alias("hub"), F.col("s1").alias("h1"), F.col("s2").alias("h2"))
+    return rest.join(sketch, "node").join(hubs, "hub").select("band", "hub", "node", "s1", "s2", _alike(F.col("s1"), F.col("s2"), F.col("h1"), F.col("h2")).alias("near"))
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -233,7 +232,7 @@ def near_pairs(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7,
     characters take no part; a repeated id counts once; nothing gives no rows.
     """
     nodes = written(text_nodes(rows, row_id, text, least).distinct(), "nodes")
-    members = written(starred(band_rows(rows, row_id, text, least)), "members")
+    members = written(starred(band_rows(rows, row_id, text, least), nodes), "members")
     linked = verified(with_texts(candidates(members), nodes, rows, row_id, text), threshold)
     who = nodes.select("node", "id")
     across = (
@@ -256,7 +255,7 @@ def groups(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7, leas
     round is written, so it survives lost executors. A row alone is its own group.
     """
     nodes = written(text_nodes(rows, row_id, text, least).distinct(), "nodes")
-    members = written(starred(band_rows(rows, row_id, text, least)), "members")
+    members = written(starred(band_rows(rows, row_id, text, least), nodes), "members")
     links = written(verified(with_texts(candidates(members), nodes, rows, row_id, text), threshold).select("a", "b"), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = nodes.groupBy("node").agg(F.min("id").alias("label"))

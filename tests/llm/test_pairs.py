@@ -63,6 +63,28 @@ def test_a_hot_family_is_linked_whole(spark):
     assert {got[i] for i in range(60)} == {0} and got[100] == 100
 
 
+def found_at(similarity, n=1500):
+    """Share of pairs of texts at a similarity that meet in a band and pass the sketch."""
+    rnd = np.random.default_rng(int(1000 * similarity))
+    texts = []
+    for _ in range(n):
+        size = int(rnd.integers(220, 1200))
+        grams = size - 4
+        cut = int(grams * (1 - similarity) / (1 + similarity)) - 4
+        at = int(rnd.integers(4, size - cut - 4))
+        own = [chr(0x100 + k) for k in rnd.integers(0, 500, size)]
+        other = own[:at] + [chr(0x400 + k) for k in rnd.integers(0, 500, cut)] + own[at + cut :]
+        texts += ["".join(own), "".join(other)]
+    keys, sketch = neardup.bands_and_sketch(neardup.signatures(texts))
+    meet = (keys[::2] == keys[1::2]).any(1)
+    differ = np.bitwise_count(sketch[::2].view(np.uint64) ^ sketch[1::2].view(np.uint64)).sum(1)
+    return float((meet & (differ <= 128 - neardup.AGREE)).mean())
+
+
+def test_pairs_at_the_threshold_are_found():
+    assert found_at(0.70) >= 0.998 and found_at(0.72) >= 0.999 and found_at(0.75) >= 0.999
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rows = [t for _, t in texts(40)]
     sig = neardup.signatures([neardup.normal(t) for t in rows])
