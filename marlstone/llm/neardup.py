@@ -247,30 +247,43 @@ def near_pairs(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7,
     return across.unionByName(copies).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
-def groups(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7, least: int = 200, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """``node, label``: the nodes of ``links`` (a, b) and the least node of each one's component.
+
+    A round hooks a node, and the node that is its label, to the least label
+    across its links, then takes the label of its label; rounds go on until
+    nothing moves and grow with the logarithm of a component's length. Each is
+    written, so it survives lost executors.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while True:
+        there = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b")
+        here = there.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
+        hooks = here.select(F.explode(F.array("a", "own")).alias("node"), "seen").groupBy("node").agg(F.min("seen").alias("seen"))
+        hooked = written(labels.join(hooks, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "labels")
+        above = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = written(hooked.join(above, "label").select("node", "old", F.col("up").alias("label")), "labels")
+        labels = new.select("node", "label")
+        if not new.where(F.col("old") != F.col("label")).limit(1).count():
+            return labels
+
+
+def groups(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7, least: int = 200) -> DataFrame:
     """``id, group_id, n_links``: each row's group of like texts, by its least id.
 
-    Groups are the components of the star links that pass the exact check, found
-    by passing the least label along links and jumping from label to label; each
-    round is written, so it survives lost executors. A row alone is its own group.
+    Groups are the components of the star links that pass the exact check, of
+    any length. A row alone is its own group.
     """
     nodes = written(text_nodes(rows, row_id, text, least).distinct(), "nodes")
     members = written(starred(band_rows(rows, row_id, text, least), nodes), "members")
     links = written(verified(with_texts(candidates(members), nodes, rows, row_id, text), threshold).select("a", "b"), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = nodes.groupBy("node").agg(F.min("id").alias("label"))
-    labels = written(both.select(F.col("a").alias("node")).distinct().join(first, "node"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("seen"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        new = written(new, "labels")
-        moved = new.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            break
-    degree = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    found = labels.join(degree, labels["node"] == degree["a"]).select("node", "label", "n_links")
+    first = nodes.groupBy("node").agg(F.min("id").alias("own"))
+    labels = components(links)
+    ids = labels.join(first, "node").groupBy("label").agg(F.min("own").alias("least"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    found = labels.join(ids, "label").join(degree, "node").select("node", "least", "n_links")
     return (
-        nodes.join(first.withColumnRenamed("label", "own"), "node").join(found, "node", "left")
-        .select("id", F.coalesce("label", "own").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        nodes.join(first, "node").join(found, "node", "left")
+        .select("id", F.coalesce("least", "own").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )

@@ -63,6 +63,16 @@ def test_a_hot_family_is_linked_whole(spark):
     assert {got[i] for i in range(60)} == {0} and got[100] == 100
 
 
+def test_a_long_chain_is_one_group(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(800)]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 60])) for i in range(90)]
+    assert brute(rows) == {(i, i + 1) for i in range(89)}
+    df = spark.createDataFrame([*rows, (500, "z" * 300)], "id bigint, content string")
+    got = {r["id"]: (r["group_id"], r["n_links"]) for r in neardup.groups(df, "id", "content").collect()}
+    assert got == {**{i: (0, 2 - (i in (0, 89))) for i in range(90)}, 500: (500, 0)}
+
+
 def found_at(similarity, n=1500):
     """Share of pairs of texts at a similarity that meet in a band and pass the sketch."""
     rnd = np.random.default_rng(int(1000 * similarity))
