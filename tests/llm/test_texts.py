@@ -124,6 +124,23 @@ def test_file_labels_by_evidence(spark):
     assert handwritten.labels(d.limit(0), "doc_id", "filename", evidence).count() == 0
 
 
+def test_marks_in_whole_comment_blocks(spark):
+    licence = "".join(f"// line {i} of the licence\n" for i in range(12))
+    mark, code = "// Code generated by x. DO NOT EDIT.", "func f() {\n  a()\n}\n"
+    cases = [
+        ([licence + mark + "\n" + code], "generated"), ([licence, mark + "\n" + code, code], "generated"), ([code, code + "\n" + mark + "\n" + licence], "generated"), ([code, mark, licence], "generated"),
+        (["/*\nCopyright of x\n" + "no warranty\n" * 9 + "Code generated by x. DO NOT EDIT.\n*/\n" + code], "generated"), (["/*\nCopyright\n" + "no warranty\n" * 9, "Vendored from x 1.0\n*/\n" + code], "vendored"),
+        ([code + mark + "\n" + code], "handwritten"), ([licence + code, mark + "\n" + code], "handwritten"), ([code, "x = 1\n" + mark + "\n" + code, code], "handwritten"),
+        (["/* open */ int a;\n" + mark + "\n" + code], "handwritten"),
+    ]
+    docs = spark.createDataFrame([(i, f"p{i}/a.go") for i in range(len(cases))], "doc_id bigint, filename string")
+    rows = [(100 * i + k, i, k, t) for i, (parts, _) in enumerate(cases) for k, t in enumerate(parts)]
+    chunks = spark.createDataFrame(rows[::-1], "id bigint, document_id bigint, position int, content string")
+    evidence = handwritten.file_evidence(handwritten.chunk_evidence(chunks, "id", "document_id", "position", "content"))
+    got = {r["file"]: r["label"] for r in handwritten.labels(docs, "doc_id", "filename", evidence).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(cases)}
+
+
 def test_quality(spark):
     prose = "If the reader was closed, then the next page must be opened, and nobody has to look for it.\n" * 6
     bare = prose.lower().replace(",", "").replace(".", "")
