@@ -63,6 +63,34 @@ def test_a_hot_family_is_linked_whole(spark):
     assert {got[i] for i in range(60)} == {0} and got[100] == 100
 
 
+def test_large_buckets_and_hot_keys_lose_no_pair(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+    rows = texts(10)
+    for i in range(120):
+        own = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            own[rnd.randrange(80)] = f"edit{rnd.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(own)))
+    want = brute(rows)
+    for name, value in (("STAR", 4), ("CELL", 30), ("SAMPLE", 10**6), ("PART_RECORDS", 500)):
+        monkeypatch.setattr(neardup, name, value)
+    df = spark.createDataFrame(rows, "id bigint, content string")
+    assert len(neardup.hot_keys(df, len(rows), "id", "content", 200)) > 0
+    assert pairs(spark, rows) == want
+
+
+def test_leaves_of_a_large_bucket_meet_through_its_hub():
+    r = np.zeros(6, neardup.RECORD)
+    r["node"], r["s1"] = [5, 1, 2, 3, 4, 1], [2**40 - 1, 0, 1, 3, 2**64 - 1, 0]
+    r["key"] = 7
+    small = set(zip(*[x.tolist() for x in neardup.bucket_links(r)[:2]], strict=True))
+    a, b, star = neardup.bucket_links(r, 3)
+    large = set(zip(a.tolist(), b.tolist(), star.tolist(), strict=True))
+    assert small == {(1, 2), (1, 3), (2, 3), (4, 5)} and large == {(1, 2, True), (1, 3, True), (4, 5, False)}
+    assert [len(x) for x in neardup.bucket_links(r[:0])] == [0, 0, 0]
+
+
 def test_a_long_chain_is_one_group(spark):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(800)]
