@@ -2,24 +2,27 @@
 
 A record's key is hashed into a 64-bit space; a leaf is a range of that space
 and its digest is an order-free sum over the records in it. A node's digest is
-made of its children's. Two trees are compared from the root down, and only
-children of differing nodes are looked at; the records of differing leaves are
-then compared one by one. Output and tree of a run are published together by
-one rename, so a failed run leaves the old tree and its records come again.
+made of its children's. A run makes the tree of its records, reads the saved
+digests of the last one and compares the two from the root down: only children
+of differing nodes are looked at, and only records of differing leaves are
+compared one by one. Output and tree are published together by one commit, so a
+failed run leaves the old tree and its records come again.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import written
+from marlstone.operators.versions import Versions
+from marlstone.session import scratch, written
 
 #: Children of a node, as a power of two, and levels below the root.
 FAN_BITS, DEPTH = 6, 3
+#: Folders that saved records lie in, as a power of two: more for more records.
+FOLDER_BITS = 4
 
 
 def normal_path(name: Column) -> Column:
@@ -27,11 +30,6 @@ def normal_path(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("\\"), F.lit("/")), r"^/+\?/+", ""), "/{2,}", "/")
 
 
-def with_leaf(rows: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
-    """``rows`` with ``__leaf``, the key range that a record falls in."""
-    return rows.withColumn("__leaf", F.shiftrightunsigned(F.xxhash64(key), 64 - _bits(depth)))
-
-
 def with_leaf(rows: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
     """``rows`` with ``__leaf``, the key range that a record falls in."""
     return rows.withColumn("__leaf", F.shiftrightunsigned(F.xxhash64(key), 64 - FAN_BITS * depth))
@@ -40,47 +38,37 @@ def with_leaf(rows: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
 SIDES = ("now", "saved")
 
 
-def _combined(level: DataFrame) -> DataFrame:
-    """Digests of both trees per node: an order-free sum, an exclusive or, a count.
+def _digests(h: Column, n: Column, side: str = "") -> list[Column]:
+    """An order-free sum, an exclusive or, a count.
 
     The sum runs over 32 bits of a hash, so it can't overflow below 2**31
-    members a node; the other half goes into the exclusive or. Combined before
-    the shuffle.
+    members a node; the other half goes into the exclusive or.
     """
-    digests = []
-    for side in SIDES:
-        h, n = F.col(f"h_{side}"), F.col(f"n_{side}")
-        digests += [F.sum(F.shiftrightunsigned(h, 32)).alias(f"sum_{side}"), F.bit_xor(h).alias(f"xor_{side}"), F.sum(n).alias(f"n_{side}")]
-    return level.groupBy("node").agg(*digests)
-
-
-def leaf_digests(sided: DataFrame, key: str, state: str, depth: int = DEPTH) -> DataFrame:
-    """One row per non-empty leaf with the digests of both trees; ``sided`` has ``in_now``."""
-    h, now = F.xxhash64(key, state), F.col("in_now")
-    return _combined(
-        with_leaf(sided, key, depth).select(
-            F.col("__leaf").alias("node"),
-            F.when(now, h).alias("h_now"), F.when(~now, h).alias("h_saved"),
-            F.when(now, 1).otherwise(0).alias("n_now"), F.when(now, 0).otherwise(1).alias("n_saved"),
-        )
-    )
+    return [F.sum(F.shiftrightunsigned(h, 32)).alias(f"sum{side}"), F.bit_xor(h).alias(f"xor{side}"), F.sum(n).alias(f"n{side}")]
 
 
-def parents(level: DataFrame) -> DataFrame:
-    """The level above: digests of digests."""
-    h = lambda side: F.when(F.col(f"n_{side}") > 0, F.xxhash64("node", f"sum_{side}", f"xor_{side}", f"n_{side}"))
-    return _combined(level.select(
-        F.shiftright("node", FAN_BITS).alias("node"), h("now").alias("h_now"), h("saved").alias("h_saved"), "n_now", "n_saved"
-    ))
+def leaf_digests(rows: DataFrame, key: str, state: str) -> DataFrame:
+    """``node, sum, xor, n``: one row per leaf that holds records of ``rows`` (with ``__leaf``), combined before the shuffle."""
+    return rows.groupBy(F.col("__leaf").alias("node")).agg(*_digests(F.xxhash64(key, state), F.lit(1)))
 
 
-def differs() -> Column:
-    same = [F.col(f"{x}_now").eqNullSafe(F.col(f"{x}_saved")) for x in ("sum", "xor", "n")]
-    return ~(same[0] & same[1] & same[2])
+def side_by_side(now: DataFrame, saved: DataFrame) -> DataFrame:
+    """Leaves of two trees: ``node`` and the digests of both sides, null where a side has none."""
+    named = [x.select("node", *[F.col(k).alias(f"{k}_{side}") for k in ("sum", "xor", "n")]) for x, side in zip((now, saved), SIDES, strict=True)]
+    return named[0].join(named[1], "node", "full")
+
+
+def parents(level: DataFrame) -> DataFrame:
+    """The level above in both trees: digests of digests."""
+    digests = []
+    for side in SIDES:
+        h = F.when(F.col(f"n_{side}").isNotNull(), F.xxhash64("node", f"sum_{side}", f"xor_{side}", f"n_{side}"))
+        digests += _digests(h, F.col(f"n_{side}"), f"_{side}")
+    return level.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(*digests)
 
 
 def differing_leaves(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``node`` of the leaves whose digests differ, found from the root down.
+    """``node`` of the leaves (of ``side_by_side``) whose digests differ, found from the root down.
 
     The upper levels have 1, 64, ... nodes; only children of differing nodes
     are compared.
@@ -88,34 +76,23 @@ def differing_leaves(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     levels = [leaves]
     for _ in range(depth):
         levels.append(parents(levels[-1]))
-    open_nodes = levels[-1].where(differs()).select("node")
+    same = F.lit(True)
+    for k in ("sum", "xor", "n"):
+        same = same & F.col(f"{k}_now").eqNullSafe(F.col(f"{k}_saved"))
+    open_nodes = levels[-1].where(~same).select("node")
     for level in levels[-2::-1]:
         up = open_nodes.select(F.col("node").alias("up"))
-        open_nodes = level.withColumn("up", F.shiftright("node", FAN_BITS)).join(up, "up", "left_semi").where(differs()).select("node")
+        open_nodes = level.join(up, F.shiftright("node", FAN_BITS) == F.col("up"), "left_semi").where(~same).select("node")
     return open_nodes
 
 
-def delta(now: DataFrame, saved: DataFrame, key: str, state: str, depth: int = DEPTH) -> DataFrame:
-    """What changed from ``saved`` to ``now``, both unique by ``key``: the key, ``change``
-    (added, updated, removed), ``state_now``, ``state_saved``.
-
-    ``state`` is the column whose value makes a version of a record; null is a
-    value like others. A null key belongs to no record and is left out. Empty
-    tables are empty trees: all is added or removed. The table of leaves has at
-    most 16**depth rows, whatever the input; it is written once, as all levels
-    come from it.
-    """
-    sided = now.select(key, state, F.lit(True).alias("in_now")).unionByName(saved.select(key, state, F.lit(False).alias("in_now")))
-    sided = written(sided.where(F.col(key).isNotNull()), "sided")
-    leaves = written(leaf_digests(sided, key, state, depth), "leaves")
-    pick = differing_leaves(leaves, depth).select(F.col("node").alias("__leaf"))
-    both = (
-        with_leaf(sided, key, depth).join(pick, "__leaf", "left_semi").groupBy(key)
-        .agg(*[
-            x for side, mine in (("now", F.col("in_now")), ("saved", ~F.col("in_now")))
-            for x in (F.bool_or(mine).alias(f"in_{side}_tree"), F.max(F.when(mine, F.col(state))).alias(f"state_{side}"))
-        ])
-    )
+def compared(now: DataFrame, saved: DataFrame, key: str, state: str) -> DataFrame:
+    """Records of two sides one by one: the key, ``change`` (added, updated, removed), ``state_now``, ``state_saved``."""
+    sides = now.select(key, state, F.lit(True).alias("in_now")).unionByName(saved.select(key, state, F.lit(False).alias("in_now")))
+    both = sides.groupBy(key).agg(*[
+        x for side, mine in (("now", F.col("in_now")), ("saved", ~F.col("in_now")))
+        for x in (F.bool_or(mine).alias(f"in_{side}_tree"), F.max(F.when(mine, F.col(state))).alias(f"state_{side}"))
+    ])
     change = (
         F.when(~F.col("in_saved_tree"), "added")
         .when(~F.col("in_now_tree"), "removed")
@@ -124,6 +101,97 @@ def delta(now: DataFrame, saved: DataFrame, key: str, state: str, depth: int = D
     return both.withColumn("change", change).where(F.col("change").isNotNull()).select(key, "change", "state_now", "state_saved")
 
 
+class Published:
+    """Versions of an output with the tree that it was made for, in one folder.
+
+    ``root/v-<id>/{output,saved,leaves}`` is written first; then one commit
+    (``versions``) makes it live. A reader sees the old three or the new ones,
+    never a part; a run that dies before leaves a folder that nothing points
+    to, and the next run compares with the old tree, so nothing is skipped.
+
+    ``saved`` lies in folders by ranges of leaves, in their order, so only the
+    folders of differing leaves are read again; ``leaves`` are the saved digests.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, state: str, depth: int = DEPTH, folder_bits: int = FOLDER_BITS):
+        self.spark, self.root, self.key, self.state, self.depth = spark, root.rstrip("/"), key, state, depth
+        self._shift = FAN_BITS * depth - folder_bits
+        self.versions = Versions(spark, root)
+
+    def current(self) -> str | None:
+        return self.versions.current()[1]
+
+    def _at(self, version: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{version}/{name}")
+
+    def output(self) -> DataFrame:
+        """The changes that the live version was published with."""
+        return self._at(self.current(), "output")
+
+    def saved(self) -> DataFrame:
+        """The records of the live tree."""
+        version = self.current()
+        if not self._has_rows(version):
+            return self.output().limit(0).select(self.key, F.col("state_now").alias(self.state))
+        return self._at(version, "saved").select(self.key, self.state)
+
+    def _write_tree(self, version: str, rows: DataFrame) -> None:
+        """Records with a key, unique by it, and the digests of their leaves."""
+        kept = with_leaf(rows.select(self.key, self.state).where(F.col(self.key).isNotNull()), self.key, self.depth)
+        top = F.shiftrightunsigned("__leaf", self._shift).cast("int")
+        kept.withColumn("__top", top).repartition("__top").sortWithinPartitions("__top", "__leaf").write.partitionBy("__top").parquet(f"{self.root}/{version}/saved")
+        schema = kept.withColumn("__top", top).schema
+        again = self.spark.read.schema(schema).parquet(f"{self.root}/{version}/saved")
+        leaf_digests(again, self.key, self.state).write.parquet(f"{self.root}/{version}/leaves")
+
+    def _none(self, like: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = with_leaf(like.select(self.key, self.state), self.key, self.depth).withColumn("__top", F.lit(0)).limit(0)
+        return rows, leaf_digests(rows, self.key, self.state)
+
+    def start(self, saved: DataFrame) -> None:
+        """The first version, from records that are known to be processed; it has no output."""
+        version = f"v-{uuid.uuid4().hex}"
+        self._write_tree(version, saved)
+        none = self._none(saved)[0]
+        compared(none, none, self.key, self.state).write.parquet(f"{self.root}/{version}/output")
+        self.versions.commit(version, 0)
+
+    def advance(self, now: DataFrame) -> DataFrame:
+        """Publishes what changed from the saved records to ``now``, with the tree of ``now``; gives the changes.
+
+        ``now`` is unique by its key; a null key belongs to no record and is
+        left out; a null state is a value like others; empty tables are empty
+        trees. Saved digests are read, not made again, and of the saved records
+        only those in the folders of differing leaves.
+        """
+        base, old = self.versions.current()
+        version = f"v-{uuid.uuid4().hex}"
+        self._write_tree(version, now)
+        mine = self._at(version, "saved") if self._has_rows(version) else self._none(now)[0]
+        theirs, leaves = (self._at(old, "saved"), self._at(old, "leaves")) if old and self._has_rows(old) else self._none(now)
+        both = written(side_by_side(self._at(version, "leaves"), leaves), "leaves")  # 64**depth rows at most, and all levels come from it
+        pick = written(differing_leaves(both, self.depth), "differing")
+        tops = [r[0] for r in pick.select(F.shiftrightunsigned("node", self._shift).cast("int")).distinct().collect()]  # 2**folder_bits at most
+        sides = [
+            x.where(F.col("__top").isin(tops)).join(F.broadcast(pick.select(F.col("node").alias("__leaf"))), "__leaf", "left_semi")  # 64**depth rows at most
+            for x in (mine, theirs)
+        ]
+        compared(*sides, self.key, self.state).write.parquet(f"{self.root}/{version}/output")
+        self.versions.commit(version, base)
+        return self._at(version, "output")
+
+    def _has_rows(self, version: str) -> bool:
+        """Whether any folder of records was written: an empty table has none."""
+        return any(x.isDirectory() for x in self.versions.fs.listStatus(self.versions.path(f"{version}/saved")))
+
+
+def delta(now: DataFrame, saved: DataFrame, key: str, state: str, depth: int = DEPTH) -> DataFrame:
+    """What changed from ``saved`` to ``now``, both unique by ``key``, by way of two published trees in the shared folder."""
+    run = Published(now.sparkSession, scratch(now.sparkSession, "trees"), key, state, depth)
+    run.start(saved)
+    return run.advance(now)
+
+
 def latest_sightings(scan: DataFrame) -> DataFrame:
     """``filename, modified_at`` of files whose last sighting is ``present``.
 
@@ -148,8 +216,6 @@ def unsafe_runs(runs: DataFrame) -> DataFrame:
     row per run of the whole pipeline, so ordering them in one task is bounded
     by the number of runs, not of records.
     """
-    from pyspark.sql import Window
-
     once = runs.dropDuplicates(["run_id"])
     following = F.lead("started_at").over(Window.partitionBy(F.lit(0)).orderBy("started_at", "run_id"))
     return (
@@ -197,50 +263,3 @@ def files_to_process(scan: DataFrame, documents: DataFrame, runs: DataFrame, dep
         .groupBy("filename").agg(F.max("version").alias("version"))
     )
     return delta(now, saved, "filename", "version", depth).where(F.col("change") != "removed").select("filename", "change")
-
-
-class Published:
-    """Versions of an output with the tree that it was made for, in one folder.
-
-    ``root/v-<id>/{output,leaves}`` is written first; then ``root/CURRENT``
-    is replaced by a rename. A reader sees the old pair or the new one, never
-    half; a run that dies before leaves a folder that nothing points to.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
-        finally:
-            stream.close()
-
-    def rows(self, schema: str) -> DataFrame:
-        """The records saved by the last published run; none before the first."""
-        v = self.current()
-        return self.spark.createDataFrame([], schema) if v is None else self.spark.read.schema(schema).parquet(f"{self.root}/{v}/saved")
-
-    def publish(self, output: DataFrame, saved: DataFrame, key: str, state: str, depth: int = DEPTH) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        base = f"{self.root}/{version}"
-        output.write.parquet(f"{base}/output")
-        saved.select(key, state).write.parquet(f"{base}/saved")
-        again = self.spark.read.parquet(f"{base}/saved").withColumn("in_now", F.lit(True))
-        leaf_digests(again, key, state, depth).select("node", "sum_now", "xor_now", "n_now").write.parquet(f"{base}/leaves")
-        new, cur = self._path(f"{base}/POINTER"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        if not self._fs.rename(new, cur):  # local and HDFS refuse to rename over a file
-            self._fs.delete(cur, False)
-            if not self._fs.rename(new, cur):
-                raise OSError(f"{cur} could not be replaced")
-        return version

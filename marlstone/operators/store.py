@@ -1,7 +1,7 @@
 """Versioned Parquet tables: upsert, delete with cascade, merge; one commit per change.
 
-A version is a folder of tables; ``CURRENT`` names the live one and is replaced
-by a rename. Each version's tables are split by a hash of the filename's bucket;
+A version is a manifest of folders; a commit names the live one and fails where
+another writer was faster (``versions``). Each version's tables are split by a hash of the filename's bucket;
 a change rewrites the buckets that it touches and points at the old files for the
 rest, so its cost follows the change.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from marlstone import schemas
 from marlstone.functions.text import NO_ESCAPE
+from marlstone.operators.versions import Versions
 
 BUCKETS = 32
 #: Tables of files, all with ``bucket``; and the column by which each knows its document.
@@ -74,40 +75,21 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.versions = Versions(spark, root)
 
     # -- versions: a manifest names, for each table, the folder of each bucket
 
-    def _read_text(self, where: str) -> str | None:
-        p = self._path(where)
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _write_text(self, where: str, text: str) -> None:
-        out = self._fs.create(self._path(where), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
     def manifest(self) -> dict:
-        at = self._read_text(f"{self.root}/CURRENT")
-        return json.loads(self._read_text(f"{self.root}/{at}/manifest.json")) if at else {"tables": {}, "values": {}}
+        """The live manifest, with the number of its commit as ``base``."""
+        number, at = self.versions.current()
+        held = json.loads(self.versions.read_text(f"{at}/manifest.json")) if at else {"tables": {}, "values": {}}
+        return {**held, "base": number}
 
     def _commit(self, manifest: dict) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        self._write_text(f"{self.root}/{version}/manifest.json", json.dumps(manifest))
-        new, cur = f"{self.root}/{version}/POINTER", f"{self.root}/CURRENT"
-        self._write_text(new, version)
-        if not self._fs.rename(self._path(new), self._path(cur)):
-            self._fs.delete(self._path(cur), False)
-            if not self._fs.rename(self._path(new), self._path(cur)):
-                raise OSError(f"{cur} could not be replaced")
+        held = {k: v for k, v in manifest.items() if k != "base"}
+        self.versions.write_text(f"{version}/manifest.json", json.dumps(held))
+        self.versions.commit(version, manifest["base"])
 
     def table(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
         schema = schemas.stored(name)
@@ -131,7 +113,7 @@ class Store:
         folders = manifest["tables"].setdefault(name, {})
         for b in buckets:
             folders.pop(str(b), None)
-        for entry in self._fs.listStatus(self._path(f"{self.root}/{folder}")):  # at most BUCKETS
+        for entry in self.versions.fs.listStatus(self.versions.path(folder)):  # at most BUCKETS
             kind, _, value = entry.getPath().getName().partition("=")
             if kind == "bucket":
                 folders[value] = folder
