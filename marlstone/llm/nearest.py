@@ -7,9 +7,13 @@ in the order of their summed distances, kept by a heap over the two sorted lists
 their exact cosine.
 
 The codebooks are fitted on a bounded sample; every vector is indexed. Cells are
-packed into blocks of bounded size, a cell with more vectors than that is split,
-and queries go to the blocks of their cells, in bounded groups too: no task
-gathers more than one block and one group, whatever a cell or a query set holds.
+packed into blocks of bounded size, near cells together, and a cell with more
+vectors than that is split. A query goes to the blocks of its cells, in bounded
+groups by block: no task gathers more than one block and one group, and a block
+is sent as often as its own queries ask for.
+
+Centroids and visited vectors grow with the number of vectors N, as the root of
+N and as N to the two thirds.
 """
 
 from __future__ import annotations
@@ -24,11 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.arrow import map_columns
+from marlstone.session import written
 
 #: Centroids of each half at most; vectors the codebooks are fitted on; vectors of a block; queries of a group.
-CENTROIDS, SAMPLE, BLOCK, QUERIES = 512, 40_000, 60_000, 100_000
-#: Vectors whose exact cosine is taken, per query, at least.
-VISIT = 12_000
+CENTROIDS, SAMPLE, BLOCK, QUERIES = 1024, 40_000, 60_000, 100_000
+
+
+def visited(n: int) -> int:
+    """Vectors whose exact cosine is taken, per query, at least, of ``n``."""
+    return max(200, round(n ** (2 / 3)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -103,6 +111,20 @@ class Index:
                     heapq.heappush(heap, (a[n[0]] + b[n[1]], *n))
         return out
 
+    def reach(self, query: np.ndarray, cells: list[int]) -> float:
+        """The greatest summed distance among ``cells``: what lies within it is visited."""
+        h, at = len(query) // 2, np.array(cells)
+        a, b = ((self.left - query[:h]) ** 2).sum(1), ((self.right - query[h:]) ** 2).sum(1)
+        return float((a[at // len(b)] + b[at % len(b)]).max())
+
+
+def _morton(i: np.ndarray, j: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Places of (i, j) on a curve that keeps near ones together."""
+    z = np.zeros(len(i), np.int64)
+    for k in range(bits):
+        z |= (i >> k & 1) << (2 * k) | (j >> k & 1) << (2 * k + 1)
+    return z
+
 
 def usable(vectors: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
     """``id, vector``: not null, of ``dim`` finite numbers, not all zero."""
@@ -126,7 +148,7 @@ def build(rows: DataFrame, dim: int) -> Index | None:
         picked = rows.limit(SAMPLE).toArrow()
     x = _unit(_matrix(picked["vector"], dim))
     h = dim // 2
-    k = min(CENTROIDS, max(4, round((total / 16) ** 0.5)))
+    k = min(CENTROIDS, max(4, round((total / 4) ** 0.5)))
     left, right = _fit_half(x[:, :h], k), _fit_half(x[:, h:], k)
     bare = Index(left, right, np.zeros(0), np.zeros(0), np.zeros(0))
 
@@ -138,7 +160,9 @@ def build(rows: DataFrame, dim: int) -> Index | None:
     for cell, n in map_columns(rows.select("vector"), f, "cell int, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # a row a cell
         counts[cell] = n
     block, splits, at, filled = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
-    for cell, n in enumerate(counts.tolist()):
+    each = np.arange(len(counts))
+    for cell in np.argsort(_morton(each // len(right), each % len(right)), kind="stable").tolist():
+        n = int(counts[cell])
         if n > BLOCK:
             at += 1 if filled else 0
             block[cell], splits[cell] = at, -(-n // BLOCK)
@@ -151,12 +175,13 @@ def build(rows: DataFrame, dim: int) -> Index | None:
     return Index(left, right, counts, block, splits)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, dim: int = 64, k: int = 10, visit: int = VISIT) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, dim: int = 64, k: int = 10, visit: int | None = None) -> DataFrame:
     """``id, neighbour, cosine``: for each id of ``queries`` the ``k`` other vectors most like it.
 
-    Null, zero, not finite or otherwise long vectors take no part, as query or
-    as neighbour; a repeated id counts once; of equal cosines the lesser id
-    comes first; fewer than ``k`` others give fewer rows.
+    ``visit`` is by default ``visited`` of the number of vectors. Null, zero, not
+    finite or otherwise long vectors take no part, as query or as neighbour; a
+    repeated id counts once; of equal cosines the lesser id comes first; fewer
+    than ``k`` others give fewer rows.
     """
     spark = vectors.sparkSession
     schema = "id bigint, neighbour bigint, cosine double"
@@ -164,28 +189,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, di
     index = build(rows, dim)
     if index is None:
         return spark.createDataFrame([], schema)
-
-    def place(b: dict[str, pa.Array]) -> dict[str, object]:
-        x = _matrix(b["vector"], dim)
-        cell = index.cells(_unit(x))
-        ids = b["id"].to_numpy(zero_copy_only=False)
-        block = index.block[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.splits[cell]
-        width = x.shape[1] * 4
-        packed = pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-        return {"block": block, "cell": cell, "id": ids, "vector": packed.cast(pa.binary())}
-
-    placed = map_columns(rows, place, "block int, cell int, id bigint, vector binary")
+    least = visited(int(index.counts.sum())) if visit is None else visit
 
     def visits(b: dict[str, pa.Array]) -> dict[str, object]:
-        out: dict[str, list] = {"block": [], "id": [], "vector": [], "cells": []}
+        out: dict[str, list] = {"block": [], "id": [], "vector": [], "reach": []}
         x = _matrix(b["vector"], dim)
         for i, raw, q in zip(b["id"].to_pylist(), x, _unit(x), strict=True):
-            where: dict[int, list[int]] = {}
-            for cell in index.walk(q, visit):
-                for s in range(int(index.splits[cell])):
-                    where.setdefault(int(index.block[cell]) + s, []).append(cell)
-            for block, cells in where.items():
-                for key, v in zip(out, (block, i, raw.tobytes(), cells), strict=True):
+            cells = index.walk(q, max(least, k + 1))
+            reach = index.reach(q, cells)
+            first, n = index.block[cells], index.splits[cells]
+            for block in np.unique(np.concatenate([first, *[f + np.arange(m) for f, m in zip(first[n > 1], n[n > 1], strict=True)]])).tolist():
+                for key, v in zip(out, (block, i, raw.tobytes(), reach), strict=True):
                     out[key].append(v)
         return out
 
@@ -193,15 +207,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, di
     n_asked = asked.count()
     # a query's walk costs milliseconds but few bytes: by bytes alone they would all end up in one task
     spread = rows.join(asked, "id", "left_semi").dropDuplicates(["id"]).repartition(min(10_000, max(1, n_asked // 100)), "id")
-    sent = map_columns(spread, visits, "block int, id bigint, vector binary, cells array<int>")
-    # groups of queries: as many as their number asks for, each with a copy of the blocks that it visits
-    groups = max(1, -(-n_asked // QUERIES))
-    part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")
-    left = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else placed.withColumn("part", F.lit(0))
-    left, right = left.groupBy("block", "part"), sent.select("*", part).groupBy("block", "part")
+    sent = written(map_columns(spread, visits, "block int, id bigint, vector binary, reach double"), "queries")
+    # groups of queries, as many as a block's own number asks for; a row a block comes here
+    groups = np.zeros(int((index.block + index.splits).max()), np.int64)
+    for block, n in sent.groupBy("block").agg(F.count("*").alias("n")).collect():
+        groups[block] = -(-n // QUERIES)
+    tasks = int(max(1, groups.sum()))
+
+    def place(b: dict[str, pa.Array]) -> dict[str, object]:
+        x = _matrix(b["vector"], dim)
+        cell = index.cells(_unit(x))
+        ids = b["id"].to_numpy(zero_copy_only=False)
+        block = index.block[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.splits[cell]
+        of = np.repeat(np.arange(len(x)), groups[block])  # a block that no query visits isn't sent
+        part = np.arange(len(of)) - np.repeat(np.cumsum(groups[block]) - groups[block], groups[block])
+        width = x.shape[1] * 4
+        packed = pa.Array.from_buffers(pa.binary(width), len(of), [None, pa.py_buffer(np.ascontiguousarray(x[of]).tobytes())])
+        return {"block": block[of], "part": part, "cell": cell[of], "id": ids[of], "vector": packed.cast(pa.binary())}
+
+    placed = map_columns(rows, place, "block int, part int, cell int, id bigint, vector binary")
+    n_groups = F.element_at(F.lit(groups.tolist()), F.col("block") + 1)
+    part = F.pmod(F.xxhash64("id"), n_groups).cast("int").alias("part")
+    left, right = (x.repartition(tasks, "block", "part").groupBy("block", "part") for x in (placed, sent.select("*", part)))
 
     def rerank(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = list(_reranked(vs, qs, dim, k))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = list(_reranked(index, vs, qs, dim, k))
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"id": pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
 
@@ -210,8 +240,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, di
     return best.withColumn("k", rank).where(F.col("k") <= k).select("id", "neighbour", "cosine")
 
 
-def _reranked(vs: pa.Table, qs: pa.Table, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per query, its ``k`` best of the cells that it visits in this block."""
+def _reranked(index: Index, vs: pa.Table, qs: pa.Table, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per query, its ``k`` best of the cells of this block that lie within its reach."""
     if not vs.num_rows or not qs.num_rows:
         return
     vs, qs = vs.combine_chunks(), qs.combine_chunks()
@@ -222,15 +252,16 @@ def _reranked(vs: pa.Table, qs: pa.Table, dim: int, k: int) -> Iterator[tuple[np
     x = np.frombuffer(b"".join(vs["vector"].to_pylist()), np.float32).reshape(-1, dim)[first][order].astype(np.float64)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     names, start, n = np.unique(cell, return_index=True, return_counts=True)
-    span = {int(c): (int(s), int(s + m)) for c, s, m in zip(names, start, n, strict=True)}
-    for i, raw, cells in zip(qs["id"].to_pylist(), qs["vector"].to_pylist(), qs["cells"].to_pylist(), strict=True):
-        q = np.frombuffer(raw, np.float32).astype(np.float64)
-        q /= np.sqrt(q @ q)
-        parts = [span[c] for c in cells if c in span]
-        if not parts:
+    i_left, i_right, h = names // len(index.right), names % len(index.right), dim // 2
+    raw = np.frombuffer(b"".join(qs["vector"].to_pylist()), np.float32).reshape(-1, dim)
+    for i, q, single, reach in zip(qs["id"].to_pylist(), raw.astype(np.float64), _unit(raw), qs["reach"].to_pylist(), strict=True):
+        a, b = ((index.left - single[:h]) ** 2).sum(1), ((index.right - single[h:]) ** 2).sum(1)
+        near = np.flatnonzero(a[i_left] + b[i_right] <= reach)
+        if not len(near):
             continue
-        cos = np.concatenate([x[a:b] @ q for a, b in parts])
-        who = np.concatenate([ids[a:b] for a, b in parts])
+        m = n[near]
+        at = np.repeat(start[near] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        cos, who = x[at] @ (q / np.sqrt(q @ q)), ids[at]
         other = who != i
         cos, who = cos[other], who[other]
         if len(cos) > k:
