@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
-Documents are counted in tokens of a public tokenizer. Sources too small for
-their share give all that their cap of repeats allows, and the rest is shared
-out in proportion. A low-discrepancy sequence (van der Corput) is mapped through
+Documents are counted in tokens of a public tokenizer. The mixture is as large
+as it can be with all shares on target; where a larger one is asked for, sources
+too small for their share give all that their cap of repeats allows, and the
+rest is shared out in proportion. A low-discrepancy sequence (van der Corput) is mapped through
 the cumulative weights and names the source of each slot, so every stretch of
 the mixture has nearly the shares of the whole; a source's shuffled documents,
 laid end to end and cut into blocks of equal tokens, fill its slots in order.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.arrow import map_columns
 from marlstone.session import written
 
-#: Where the vocabulary is, unless a parameter says otherwise; tokens of a block; tokens of a bucket of running sums.
-VOCABULARY = os.environ.get("MARLSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: The vocabulary unless a parameter says otherwise, a path or a file of the public package; tokens of a block; tokens of a bucket of running sums.
+VOCABULARY = os.environ.get("MARLSTONE_VOCABULARY", "byte_bpe_50k.tiktoken")
 BLOCK_TOKENS, BUCKET_TOKENS = 4_096, 20_000_000
 _ENCODERS: dict[str, object] = {}
 
@@ -36,30 +37,16 @@ def _encoder(path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as file:
+        own = os.path.join(os.path.dirname(public_tokenizers.__file__), path)  # a path from the root stands as it is
+        with open(own, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
-#: Longest piece that is encoded at once: a run of one character takes time beyond proportion in a byte-pair encoder.
-PIECE = 20_000
-
-
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of a whole text; very long texts piece by piece, cut before a space that follows a letter."""
-    encode = _encoder(path).encode_ordinary
-    n = at = 0
-    while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            cut = text.rfind(" ", at + 1, end)
-            while cut > at and not text[cut - 1].isalnum():
-                cut = text.rfind(" ", at + 1, cut)
-            end = cut if cut > at else end
-        n += len(encode(text[at:end]))
-        at = end
-    return n
+    """Tokens of a whole text."""
+    return len(_encoder(path).encode_ordinary(text))
 
 
 def token_counts(documents: DataFrame, doc_id: str, text: str, source: str, path: str = VOCABULARY) -> DataFrame:
@@ -87,13 +74,13 @@ class Plan:
 def plan(targets: list[tuple[str, float, int]], has: dict[str, int], total: int | None = None) -> list[Plan]:
     """Tokens of each source so that shares come as near to the targets as the caps allow.
 
-    ``total`` is the size of the mixture; by default the tokens of all sources
-    named, each once. What short sources can't give is shared among the others
+    ``total`` is the size of the mixture; by default the largest in which no source
+    that has documents is short. What short sources can't give is shared among the others
     in proportion to their targets, until all fit or all are at their caps.
     """
     cap = {s: has.get(s, 0) * max(0, r) for s, _, r in targets}
     share = {s: max(0.0, t) for s, t, _ in targets}
-    left = min(sum(has.get(s, 0) for s in share) if total is None else total, sum(c for s, c in cap.items() if share[s] > 0))
+    left = min(largest_exact_total(targets, has) if total is None else total, sum(c for s, c in cap.items() if share[s] > 0))
     wanted = dict.fromkeys(share, 0)
     free = {s for s in share if share[s] > 0 and cap[s] > 0}
     while free and left > 0:
@@ -144,10 +131,14 @@ def _laid_out(counts: DataFrame, wanted: list[Plan]) -> DataFrame:
     )
 
 
+#: Bits of a slot's number: 2**48 slots of BLOCK_TOKENS.
+SLOT_BITS = 48
+
+
 def van_der_corput(n: Column) -> Column:
     """The bits of ``n`` mirrored at the point: 0, 1/2, 1/4, 3/4, ... for 0, 1, 2, 3, ..."""
-    bits = F.reverse(F.lpad(F.bin(n), 40, "0"))
-    return F.conv(bits, 2, 10).cast("double") / F.lit(float(1 << 40))
+    bits = F.reverse(F.lpad(F.bin(n), SLOT_BITS, "0"))
+    return F.conv(bits, 2, 10).cast("double") / F.lit(float(1 << SLOT_BITS))
 
 
 def schedule(spark, wanted: list[Plan], block: int = BLOCK_TOKENS, run: int = 1 << 16) -> DataFrame:
@@ -166,6 +157,8 @@ def schedule(spark, wanted: list[Plan], block: int = BLOCK_TOKENS, run: int = 1
         pick = F.when(F.col("point") < high, F.lit(s)).otherwise(pick)
     # a few slots more than blocks, as a source's count in the sequence is off by its discrepancy
     spare = int(4 * len(need) * max(1, total.bit_length()))
+    if total + spare >= 1 << SLOT_BITS:
+        raise ValueError("more slots than SLOT_BITS can number")
     slots = spark.range(total + spare).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("source", pick)
     slots = slots.withColumn("run", F.floor(F.col("slot") / run))
     sizes = slots.groupBy("source", "run").agg(F.count("*").alias("n"))

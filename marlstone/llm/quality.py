@@ -189,15 +189,22 @@ def _rows(b: dict[str, pa.Array]) -> np.ndarray:
     return np.stack([b[k].to_numpy(zero_copy_only=False) for k in STATS], axis=1)
 
 
-def fit(stats: DataFrame, steps: int = 12, tolerance: float = 0.02) -> tuple[Mixture, list[str]]:
-    """The mixture over all rows of ``stats`` (a written table), and its components' classes."""
+def fit(stats: DataFrame, steps: int = 200, tolerance: float = 0.003) -> tuple[Mixture, list[str]]:
+    """The mixture over all rows of ``stats`` (a written table), and its components' classes.
+
+    Passes go on until no mean moves by more than ``tolerance`` deviations; an
+    error after ``steps`` of them.
+    """
     labels, examples = example_statistics()
     both = stats.agg(*[f(k).alias(f"{n}_{k}") for k in STATS for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first()
     centre = np.array([both[f"mean_{k}"] or 0.0 for k in STATS])
     scale = np.array([max(both[f"dev_{k}"] or 0.0, 1e-3) for k in STATS])
     mixture = Mixture(centre, scale, (examples - centre) / scale)
     k, d = mixture.means.shape
-    for _ in range(steps if both["mean_running_share"] is not None else 0):
+    moved = 0.0 if both["mean_running_share"] is None else 1.0
+    for _ in range(steps):
+        if moved < tolerance:
+            break
 
         def f(b: dict[str, pa.Array], mixture: Mixture = mixture) -> dict[str, object]:
             x = _rows(b)
@@ -209,8 +216,9 @@ def fit(stats: DataFrame, steps: int = 12, tolerance: float = 0.02) -> tuple[Mix
         for row in map_columns(stats.select(*STATS), f, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect():
             sums[row["slot"]] = row["value"]
         sums = sums.reshape(k, 1 + 2 * d)
-        if mixture.step(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :]) < tolerance:
-            break
+        moved = mixture.step(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :])
+    if moved >= tolerance:
+        raise RuntimeError(f"the mixture still moves after {steps} passes")
     # a component is what the examples in it are; one that holds none is what the nearest example is
     p = mixture.responsibilities(examples)
     named = []
@@ -245,7 +253,6 @@ def judged(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return classified(stats, *fit(stats))
 
 
-def not_prose(rows: DataFrame, least: float = 0.001) -> DataFrame:
-    """Documents that the mixture doesn't hold for prose beyond doubt and of which, by an
-    exact check, less than half is running text."""
-    return rows.where((F.col("p_prose") < 1 - least) & (F.col("running_share") < 0.5))
+def not_prose(rows: DataFrame) -> DataFrame:
+    """Documents that the mixture holds for lists, tables or junk."""
+    return rows.where(F.col("kind") != "prose")
