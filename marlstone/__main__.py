@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from marlstone import config as configs
 from marlstone.engine import Engine
@@ -39,7 +40,7 @@ def main() -> None:
     if args.command == "watch":
         from marlstone.streaming.watch import watch as start
 
-        start(engine, base_directories(config.document_patterns)).awaitTermination()
+        start(engine, base_directories(config.document_patterns), config_path=os.path.expanduser(args.config)).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -20,15 +20,42 @@ from marlstone.sources import code, formats, walk
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, embedder: embedding.Embedder | None = None):
-        self.spark, self.config = spark, config
+        self.spark = spark
         self.store = Store(spark, config.store_dir)
+        self._take(config, embedder)
+
+    def _take(self, config: Config, embedder: embedding.Embedder | None) -> None:
         e = config.embedding
-        self.embedder = embedder or embedding.from_config({
+        new = embedder or embedding.from_config({
             "api_url": e.api_url, "api_model": e.api_model, "api_key": e.api_key, "dimensions": e.dimensions, "batch_size": e.batch_size,
             "timeout_secs": e.timeout_secs, "max_concurrent": e.max_concurrent,
         })
-        if not embedding.same_embedder(self.store.get("embedder"), self.embedder):
+        if not embedding.same_embedder(self.store.get("embedder"), new):
             raise ValueError(f"the store's vectors are of {self.store.get('embedder')}")
+        self.config, self.embedder = config, new
+
+    def reload(self, config: Config) -> None:
+        """Another configuration from now on, with its embedder; the store stays. An error changes nothing."""
+        if config.store_dir != self.config.store_dir:
+            raise ValueError("the store can't be changed while running")
+        self._take(config, None)
+
+    def apply_paths(self, paths: Sequence[str]) -> DataFrame:
+        """``filename, action`` of single paths that changed: indexed, deleted or passed over.
+
+        A path counts when its extension is known and neither it nor a directory
+        above it is excluded; one that is gone is deleted from the store.
+        """
+        full = list(dict.fromkeys(os.path.abspath(os.path.expanduser(p)).replace(os.sep, "/") for p in paths))
+        rows = self.spark.createDataFrame([(p,) for p in full], "filename string")
+        known = T.extension(F.col("filename")).isin(list(self.config.file_extensions))
+        wanted = {r[0] for r in rows.where(known & ~walk.excluded(F.col("filename"), self.config.exclude_patterns)).collect()}
+        gone = sorted(p for p in wanted if not os.path.exists(p))
+        self.store.delete(gone)
+        here = [p for p in full if p in wanted and p not in gone]
+        done = {r["filename"]: r["success"] for r in self.index_files(here).collect()} if here else {}
+        action = lambda p: "passed over" if p not in wanted else "deleted" if p in gone else "indexed" if done[p] else "failed"
+        return self.spark.createDataFrame([(p, action(p)) for p in full], "filename string, action string")
 
     # -- index
 

@@ -52,8 +52,8 @@ def mined_from_comments(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     before = F.lag("line").over(Window.partitionBy("document").orderBy("line_no"))
     han = F.explode(F.regexp_extract_all("before", F.lit(COMMENT), F.lit(1))).alias("source_word")
-    near = lines.withColumn("before", before).where(F.col("before").isNotNull())
-    # the line's identifiers meet the symbols by an equi-join; a symbol inside a longer identifier is met as well
+    # few lines follow a comment with such words; they alone meet their document's symbols, also inside longer identifiers
+    near = lines.withColumn("before", before).where(F.col("before").rlike(COMMENT))
     found = near.join(symbols, "document").where(F.contains("line", "symbol")).select("document", "symbol", han)
     part = F.explode(split_identifier(F.col("symbol"))).alias("target_word")
     return (

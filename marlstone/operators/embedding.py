@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
 import urllib.error
@@ -148,6 +149,7 @@ def from_config(config: dict) -> Embedder:
     key = next((os.environ[k] for k in KEY_VARIABLES if os.environ.get(k)), config.get("api_key"))
     dim = int(config.get("dimensions", 1024))
     if not key or not config.get("api_url"):
+        logging.getLogger(__name__).warning("no key or address of an embedding service: vectors come from a hash and carry no meaning")
         return HashEmbedder(dim)
     return HttpEmbedder(config["api_url"], config.get("api_model", ""), key, dim, int(config.get("batch_size", 32)), float(config.get("timeout_secs", 30)), int(config.get("max_concurrent", 5)))
 

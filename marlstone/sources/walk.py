@@ -29,21 +29,52 @@ def excluded(path: Column, patterns: Sequence[str] = EXCLUDES) -> Column:
     return hit
 
 
-def gitignored(root: str) -> list[str]:
-    """Globs of the ``.gitignore`` files below ``root``, each under its own directory; ``!`` lines are not taken back."""
-    out = []
-    for at, _, names in os.walk(root):
+def gitignored(root: str) -> list[tuple[str, bool]]:
+    """``(regular expression, ignored)`` of the lines in the ``.gitignore`` files below ``root``,
+    each under its own directory, outer files first: of the lines that fit, the last one counts."""
+    out: list[tuple[str, bool]] = []
+    for at, dirs, names in os.walk(root):
+        dirs.sort()
         if ".gitignore" in names:
             base = at.replace(os.sep, "/").rstrip("/")
             with open(os.path.join(at, ".gitignore"), encoding="utf-8", errors="replace") as file:
                 for line in map(str.strip, file):
-                    if line and line[0] not in "#!":
-                        body = line.rstrip("/")
-                        inner = body.lstrip("/") if body.startswith("/") or "/" in body else f"**/{body}"
-                        out += [f"{base}/{inner}", f"{base}/{inner}/**"]
+                    again = line.startswith("!")
+                    body = line[again:]
+                    if body.strip("/") and body[0] != "#":
+                        inner = body.strip("/")
+                        where = f"{base}/{inner}" if "/" in body.rstrip("/") else f"{base}/**/{inner}"
+                        # a trailing slash means a directory: its path ends with one below
+                        rx = T.glob_regex(where).removesuffix("$")
+                        out.append((rx + ("/$" if body.endswith("/") else "/?$"), not again))
     return out
 
 
+def git_excluded(path: Column, rules: Sequence[tuple[str, bool]], root: str) -> Column:
+    """Whether a file, or a directory that it lies in below ``root``, is ignored; a file in an
+    ignored directory can't be taken back by a line of its own."""
+    base = root.replace(os.sep, "/").rstrip("/")
+
+    @F.pandas_udf("boolean")
+    def ignored(paths: pd.Series) -> pd.Series:
+        found = [(re.compile(rx), on) for rx, on in rules]
+        known: dict[str, bool] = {}
+
+        def own(p: str) -> bool:
+            return next((on for rx, on in reversed(found) if rx.match(p)), False)
+
+        def folder(p: str) -> bool:
+            if len(p) <= len(base):
+                return False
+            if p not in known:
+                known[p] = folder(p.rpartition("/")[0]) or own(p + "/")
+            return known[p]
+
+        return paths.map(lambda p: folder(p.rpartition("/")[0]) or own(p))
+
+    return ignored(path) if rules else F.lit(False)
+
+
 def _hidden(root: str) -> list[str]:
     """Directories and files that Spark's own listing passes over, the topmost of each."""
     out = []
@@ -77,8 +108,9 @@ def scan(spark: SparkSession, directory: str, excludes: Sequence[str] = EXCLUDES
     if single:
         rows = rows.unionByName(spark.createDataFrame(single, "path string").mapInPandas(_opened, rows.schema))
     name = T.normal_path(F.regexp_replace("path", "^file:/+", "/"))
-    found = rows.select(name.alias("filename"), F.col("modificationTime").alias("modified_at"), "length", *(["content"] if content else []))
-    return found.where(T.extension(F.col("filename")).isin(list(extensions)) & ~excluded(F.col("filename"), [*excludes, *ignore]))
+    known = T.extension(F.col("filename")).isin(list(extensions)) & ~excluded(F.col("filename"), excludes)
+    listed = rows.select(name.alias("filename"), F.col("modificationTime").alias("modified_at"), "length", *(["content"] if content else [])).where(known)
+    return listed.where(~git_excluded(F.col("filename"), ignore, directory)) if ignore else listed
 
 
 def base_directory(pattern: str) -> str:

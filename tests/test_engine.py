@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import dataclasses
 import os
+import time
 
 import pytest
 
@@ -8,6 +10,7 @@ from marlstone import config as configs
 from marlstone.config import Config, Embedding
 from marlstone.engine import Engine
 from marlstone.operators import embedding
+from marlstone.sources.walk import scan
 from marlstone.streaming.watch import watch
 
 
@@ -78,8 +81,6 @@ def test_watch_applies_changes(engine, tmp_path):
     write(f"{src}/a.md", "text", 1_700_000_000)
     q = watch(engine, [src], checkpoint=str(tmp_path / "cp"))
     try:
-        import time
-
         end = time.time() + 60
         while engine.store.documents().count() != 1 and time.time() < end:
             time.sleep(0.5)
@@ -88,6 +89,50 @@ def test_watch_applies_changes(engine, tmp_path):
     assert engine.store.documents().count() == 1
 
 
+def test_an_edited_configuration_is_taken_up(engine, tmp_path):
+    one, two, path = str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "config.json")
+    write(f"{one}/a.md", "text", 1_700_000_000)
+    write(f"{two}/b.md", "text", 1_700_000_000)
+    configs.save(engine.config, path)
+    os.utime(path, (1, 1))
+    q = watch(engine, [one], checkpoint=str(tmp_path / "cp"), config_path=path)
+    try:
+        end = time.time() + 90
+        while engine.store.documents().count() != 1 and time.time() < end:
+            time.sleep(0.5)
+        write(path, "{not json")
+        time.sleep(3)
+        configs.save(dataclasses.replace(engine.config, document_patterns=[two]), path)
+        os.utime(path, (5, 5))
+        while engine.store.documents().count() != 2 and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert {r["filename"] for r in engine.store.documents().collect()} == {f"{one}/a.md", f"{two}/b.md"} and engine.config.document_patterns == [two]
+
+
+def test_single_paths_are_applied(engine, tmp_path):
+    src = str(tmp_path / "src")
+    write(f"{src}/a.md", "text")
+    write(f"{src}/node_modules/b.md", "text")
+    engine.apply_paths([f"{src}/a.md"])
+    write(f"{src}/c.md", "more")
+    os.remove(f"{src}/a.md")
+    got = {os.path.basename(r["filename"]): r["action"] for r in engine.apply_paths([f"{src}/{x}" for x in ("a.md", "c.md", "node_modules/b.md", "x.bin")]).collect()}
+    assert got == {"a.md": "deleted", "c.md": "indexed", "b.md": "passed over", "x.bin": "passed over"}
+    assert [r["filename"] for r in engine.store.documents().collect()] == [f"{src}/c.md"]
+
+
+def test_gitignore_lines_are_taken_back(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for name in ("a.log", "keep.log", "out/x.log", "out/keep.log", "sub/a.txt", "sub/b.txt", "sub/deep/b.txt", "build", "lib/build/c.txt"):
+        write(f"{src}/{name}", "x")
+    write(f"{src}/.gitignore", "*.log\n!keep.log\nout/\n!out/keep.log\n/sub/*.txt\nbuild/\n")
+    write(f"{src}/sub/.gitignore", "!b.txt\n# note\n")
+    found = scan(spark, src, extensions=["log", "txt", "build"], content=False)
+    assert {r["filename"].removeprefix(f"{src}/") for r in found.collect()} == {"keep.log", "sub/b.txt", "sub/deep/b.txt"}
+
+
 def test_frontmatter_request(engine, tmp_path):
     path = str(tmp_path / "f.md")
     write(path, "Body\nx\ny")
