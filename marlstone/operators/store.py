@@ -21,7 +21,8 @@ from marlstone import schemas
 from marlstone.functions.text import NO_ESCAPE
 from marlstone.operators.versions import Versions
 
-BUCKETS = 32
+#: Buckets at least, and files of one; beyond four times as many files the tables are cut anew into more buckets.
+BUCKETS, FILES = 32, 20_000
 #: Tables of files, all with ``bucket``; and the column by which each knows its document.
 FILE_TABLES = ("documents", "chunks", "code_metadata", "code_relations")
 
@@ -113,13 +114,18 @@ class Store:
         folders = manifest["tables"].setdefault(name, {})
         for b in buckets:
             folders.pop(str(b), None)
-        for entry in self.versions.fs.listStatus(self.versions.path(folder)):  # at most BUCKETS
+        for entry in self.versions.fs.listStatus(self.versions.path(folder)):  # a folder a bucket
             kind, _, value = entry.getPath().getName().partition("=")
             if kind == "bucket":
                 folders[value] = folder
 
-    def _touched(self, names: DataFrame) -> list[int]:
-        return sorted(r[0] for r in names.select(bucket_of(F.col("filename")).alias("b")).distinct().collect())  # at most BUCKETS
+    def _buckets(self, manifest: dict, more: DataFrame) -> tuple[int, bool]:
+        """How many buckets the tables of files have with ``more`` files, and whether that is another number than now."""
+        has = manifest.get("buckets", 0)
+        n = (self.table("documents").count() if has else 0) + more.count()
+        if not has or n > 4 * FILES * has:
+            return max(BUCKETS, n // FILES), bool(has)
+        return has, False
 
     # -- changes
 
@@ -135,7 +141,10 @@ class Store:
         names = documents.select("filename")
         every = names if gone is None else names.unionByName(gone.select("filename"))
         every = every.distinct()
-        buckets = self._touched(every)
+        n_buckets, anew = self._buckets(manifest, every)
+        manifest["buckets"] = n_buckets
+        bucket = bucket_of(F.col("filename"), n_buckets)
+        buckets = sorted(r[0] for r in every.select(bucket.alias("b")).distinct().collect())  # n_buckets at most
         if not buckets:
             return
         new = {
@@ -150,9 +159,11 @@ class Store:
                 F.lit(None).cast("bigint").alias("target_chunk_id"), "relation_type", "target_name", "target_file", "confidence",
             )
         for name in FILE_TABLES:
-            kept = self.table(name, buckets).join(every, "filename", "left_anti")
+            kept = self.table(name, None if anew else buckets).join(every, "filename", "left_anti")
             rows = kept.unionByName(new[name]) if name in new else kept
-            self._rewrite(manifest, name, rows, bucket_of(F.col("filename")), buckets)
+            if anew:
+                manifest["tables"].pop(name, None)
+            self._rewrite(manifest, name, rows, bucket, buckets)
         self._commit(manifest)
 
     def delete(self, filenames: Sequence[str]) -> int:

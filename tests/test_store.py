@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import graph, search, store, sync
 from marlstone.operators.store import Store
+from marlstone.operators.versions import ConcurrentChange
 
 T0 = dt.datetime(2024, 1, 1)
 DOC = "filename string, modified_at timestamp, indexed_at timestamp"
@@ -42,6 +43,28 @@ def test_a_failed_write_changes_nothing(spark, tmp_path):
     assert [r["content"] for r in s.table("chunks").collect()] == ["one"]
 
 
+def test_buckets_grow_with_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKETS", 2)
+    monkeypatch.setattr(store, "FILES", 2)
+    s = Store(spark, str(tmp_path / "s"))
+    put(spark, s, "f0.md", ["text 0"])
+    assert s.manifest()["buckets"] == 2
+    docs = spark.createDataFrame([(f"f{i}.md", T0, T0) for i in range(1, 20)], DOC)
+    s.replace_files(docs, spark.createDataFrame([(f"f{i}.md", 0, f"text {i}", [1.0]) for i in range(1, 20)], CHUNK))
+    assert s.manifest()["buckets"] == 10 and {r["content"] for r in s.table("chunks").collect()} == {f"text {i}" for i in range(20)}
+    put(spark, s, "f3.md", ["other"])
+    assert s.table("chunks").count() == 20 and s.delete(["f0.md"]) == 1 and s.documents().count() == 19
+
+
+def test_of_two_writers_the_second_fails(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    base = two.manifest()
+    one.set("k", "1")
+    with pytest.raises(ConcurrentChange):
+        two._commit({**base, "values": {"k": "2"}})
+    assert two.get("k") == "1"
+
+
 def test_words_keep_the_greater_confidence(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     schema = "source_word string, target_word string, source_lang string, confidence double, source_document string"
