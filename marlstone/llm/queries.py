@@ -118,4 +118,34 @@ WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM vec_chunks
 q AS (SELECT DISTINCT chunk_id AS p, e AS qe FROM v JOIN knn_probes USING (chunk_id)),
 s AS (SELECT p, chunk_id, row_number() OVER (PARTITION BY p ORDER BY list_cosine_similarity(e, qe) DESC, chunk_id) AS k FROM v, q WHERE chunk_id <> p)
 SELECT p AS chunk_id, chunk_id AS neighbour_id FROM s WHERE k <= 10""",
+    # exact: texts that share enough of their rarest substrings, then all substrings counted
+    "p3_found": r"""
+WITH t AS (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL AND length(content) >= 200),
+s AS (SELECT id, trim(regexp_replace(lower(content), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS s FROM t),
+g AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(s) - 3), lambda i: hash(substring(s, i, 5))))) AS g FROM s),
+f AS (SELECT g, count(*) AS f FROM g GROUP BY g),
+r AS (SELECT id, g, row_number() OVER (PARTITION BY id ORDER BY f, g) AS k, count(*) OVER (PARTITION BY id) AS n FROM g JOIN f USING (g)),
+p AS (SELECT * FROM r WHERE k <= n - ceil(0.7 * n) + least(20, ceil(0.7 * n))),
+c AS (SELECT a.id AS chunk_a, b.id AS chunk_b, any_value(a.n) AS na, any_value(b.n) AS nb FROM p a JOIN p b USING (g) WHERE a.id < b.id AND a.n >= 0.69 * b.n AND b.n >= 0.69 * a.n
+      GROUP BY ALL HAVING count(*) >= least(20, ceil(0.7 * least(any_value(a.n), any_value(b.n))))),
+m AS (SELECT chunk_a, chunk_b, any_value(na + nb) AS n, count(*) AS common FROM c JOIN g x ON x.id = chunk_a JOIN g y ON y.id = chunk_b AND y.g = x.g GROUP BY chunk_a, chunk_b)
+SELECT chunk_a, chunk_b FROM m WHERE common >= 0.7::DOUBLE * (n - common)""",
 }
+
+# as the problem states it; of NFKC, which DuckDB has not, composition and the wide forms of ASCII letters and digits
+_WIDE, _PLAIN = ("".join(chr(k + shift) for k in range(48, 123) if chr(k).isalnum()) for shift in (0xFEE0, 0))
+SQL["p8_found"] = r"""
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(nfc_normalize(translate(text, 'WIDE', 'PLAIN'))), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(nfc_normalize(translate(text, 'WIDE', 'PLAIN'))), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ir AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k + 12]))) AS h FROM i WHERE len(w) >= 13),
+dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k + 12]))) AS h FROM d WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (h)""".replace("WIDE", _WIDE).replace("PLAIN", _PLAIN)
+
+_PAIRS, _, _ALIKE = SQL["p3_found"].rpartition("SELECT chunk_a, chunk_b FROM m")
+SQL["p3_groups"] = _PAIRS.replace("WITH t", "WITH RECURSIVE t", 1).rstrip() + f""",
+z AS (SELECT chunk_a, chunk_b FROM m {_ALIKE}),
+e AS (SELECT chunk_a AS a, chunk_b AS b FROM z UNION ALL SELECT chunk_b, chunk_a FROM z),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+l AS (SELECT a AS id, min(b) AS least FROM reach GROUP BY a),
+d AS (SELECT e.a AS id, count(DISTINCT y.s) AS n FROM e JOIN s x ON x.id = e.a JOIN s y ON y.id = e.b WHERE x.s <> y.s GROUP BY e.a)
+SELECT id, least(id, coalesce(l.least, id)) AS group_id, coalesce(d.n, 0) AS n_links FROM s LEFT JOIN l USING (id) LEFT JOIN d USING (id) WHERE length(s.s) >= 5"""
