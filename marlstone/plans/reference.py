@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _first_vector(spark: SparkSession, d: str) -> list[float]:
     """The stored vector that serves as the query: the first usable one by id."""
-    v = table(spark, d, "vec_chunks").where((F.size("embedding") == DIM) & (V.dot(F.col("embedding"), F.col("embedding")) > 0))
+    v = table(spark, d, "vec_chunks").where((F.size("embedding") == DIM) & F.exists("embedding", lambda x: x != 0))
     return v.orderBy("chunk_id").first()["embedding"]
 
 
